@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, sharding
-from .tables import read
+from . import packing, quality, sharding, toxicity
+from .tables import fold, read
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -22,8 +22,20 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), WORD_TOKENIZER, window=2048)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = read(spark, sf_dir, "documents"), fold("doc_id", 5) == 0
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = read(spark, sf_dir, "documents"), fold("doc_id", 5) == 0
+    model = quality.fit(docs, read(spark, sf_dir, "labels"), ~held_out, quality.editorial_grade())
+    return quality.score(docs, model).withColumn("held_out", held_out)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op3_packing)}
+    return {f.__name__: f for f in (op2_sharding, op3_packing, op4_toxicity, op6_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
