@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, sharding, toxicity
+from . import bpe, language, packing, quality, sharding, toxicity
 from .tables import fold, read
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -28,14 +28,24 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = read(spark, sf_dir, "documents"), fold("doc_id", 3) == 1
+    model = language.fit(docs, ~held_out)
+    return language.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = read(spark, sf_dir, "documents"), fold("doc_id", 5) == 0
     model = quality.fit(docs, read(spark, sf_dir, "labels"), ~held_out, quality.editorial_grade())
     return quality.score(docs, model).withColumn("held_out", held_out)
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(read(spark, sf_dir, "documents"), BYTE_TOKENIZER)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op3_packing, op4_toxicity, op6_quality)}
+    return {f.__name__: f for f in (op2_sharding, op3_packing, op4_toxicity, op5_language, op6_quality, op8_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
