@@ -107,7 +107,8 @@ class Model:
             root.append(n)
             n += len(nxt)
             tables.append(table)
-        step = np.concatenate(tables) if tables else np.zeros((0, 1), np.int32)
+        tables.append(np.full((1, len(seen) + 1), -1, dtype=np.int32))  # the sink: no phrase is under way
+        step = np.concatenate(tables)
         return Model(langs, step, np.array(root, dtype=np.int32), kind, block)
 
     def phrases(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,10 +130,11 @@ class Model:
         length = np.minimum(self.block, offs[row + 1] - begin)
         order = np.argsort(-length, kind="stable")
         row, begin, length = row[order], begin[order], length[order]
-        state = np.repeat(self.root[:, None], len(row), axis=1)
+        sink = len(self.step) - 1
+        state = np.full((k, len(row)), sink, dtype=np.int32)
         found = np.zeros((k, len(row)), dtype=np.int32)
         flat, width = self.step.ravel(), self.step.shape[1]
-        first = np.where(flat.reshape(self.step.shape)[self.root] >= 0, flat.reshape(self.step.shape)[self.root], self.root[:, None])
+        first = np.where(self.step[self.root] >= 0, self.step[self.root], sink)
         live = np.searchsorted(-length, -np.arange(self.block), "left")  # lanes longer than t
         for t in range(int(length[0]) if len(length) else 0):
             m = live[t]
@@ -143,7 +145,7 @@ class Model:
             state[:, :m] = np.where(dead, first[:, c], to)
         out = np.zeros((k, n))
         for j in range(k):
-            out[j] = np.bincount(row, weights=found[j] + 1, minlength=n)
+            out[j] = np.bincount(row, weights=found[j], minlength=n)
         return out, size
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
