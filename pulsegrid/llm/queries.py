@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, language, packing, quality, sharding, toxicity
+from . import bpe, language, packing, quality, sharding, topk, toxicity
 from .tables import fold, read
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -44,9 +45,26 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), BYTE_TOKENIZER)
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(topk.integer_vectors(read(spark, sf_dir, "embeddings")), F.col("vec_id") % 20 == 0, k=20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op3_packing, op4_toxicity, op5_language, op6_quality, op8_bpe)}
+    return {f.__name__: f for f in (op2_sharding, op3_packing, op4_toxicity, op5_language, op6_quality, op8_bpe, op9_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op9_topk": """
+            WITH v AS (
+                SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+                WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+                  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            ), s AS (
+                SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+                FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+            ), r AS (
+                SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
+            )
+            SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    }
