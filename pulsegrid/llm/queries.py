@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, packing, quality, sharding, topk, toxicity
+from . import bpe, fingerprint, language, packing, quality, sharding, topk, toxicity
 from .tables import fold, read
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -49,8 +49,12 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(topk.integer_vectors(read(spark, sf_dir, "embeddings")), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op3_packing, op4_toxicity, op5_language, op6_quality, op8_bpe, op9_topk)}
+    return {f.__name__: f for f in (op2_sharding, op3_packing, op4_toxicity, op5_language, op6_quality, op8_bpe, op9_topk, op10_fingerprint)}
 
 
 def oracle_sql() -> dict[str, str]:
