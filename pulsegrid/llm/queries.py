@@ -8,13 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, language, packing, quality, sharding, topk, toxicity
+from . import bpe, fingerprint, language, linededup, packing, quality, sharding, topk, toxicity
 from .tables import fold, read
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.dedupe(docs, min_words=50)
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"), shards=16)
 
@@ -54,11 +59,37 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op3_packing, op4_toxicity, op5_language, op6_quality, op8_bpe, op9_topk, op10_fingerprint)}
+    return {f.__name__: f for f in (op1_linededup, op2_sharding, op3_packing, op4_toxicity, op5_language, op6_quality, op8_bpe, op9_topk, op10_fingerprint)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_linededup": """
+            WITH d AS (
+                SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls
+                FROM documents
+            ), l AS (
+                SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS s FROM d
+            ), w AS (
+                SELECT doc_id, ls, s, length(ls[s]) - length(replace(ls[s], ' ', '')) + 1 AS w FROM l
+            ), c AS (
+                SELECT doc_id, ls, s, sum(w) OVER (PARTITION BY doc_id ORDER BY s) AS c1, w FROM w
+            ), r AS (
+                SELECT a.doc_id, a.s, b.s AS e, array_to_string(list_slice(a.ls, a.s, b.s), chr(10)) AS run
+                FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.s <= b.s
+                WHERE b.c1 - (a.c1 - a.w) >= 50 AND ((b.c1 - b.w) - (a.c1 - a.w) < 50 OR b.c1 - a.c1 < 50)
+            ), n AS (
+                SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, s) AS k FROM r
+            ), g AS (
+                SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS s FROM n WHERE k > 1
+            ), k AS (
+                SELECT c.doc_id, count(g.s) AS gone,
+                       coalesce(string_agg(c.ls[c.s], chr(10) ORDER BY c.s) FILTER (WHERE g.s IS NULL), '') AS kept
+                FROM c LEFT JOIN g ON c.doc_id = g.doc_id AND c.s = g.s GROUP BY c.doc_id
+            )
+            SELECT d.doc_id, CASE WHEN coalesce(gone, 0) > 0 THEN kept ELSE text END AS text,
+                   coalesce(len(ls), 0)::INTEGER AS lines_before, coalesce(gone, 0)::INTEGER AS lines_removed
+            FROM d LEFT JOIN k ON d.doc_id = k.doc_id""",
         "op9_topk": """
             WITH v AS (
                 SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings

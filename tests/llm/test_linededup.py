@@ -1,0 +1,63 @@
+import numpy as np
+import pytest
+
+from pulsegrid.llm import linededup
+
+
+def brute(rows, min_words):
+    """Texts after deletion, by trying every run of every document in order."""
+    seen, out = set(), {}
+    docs = sorted({(d is not None, d, t) for d, t in rows if t is not None}, key=lambda r: (r[0], r[1] or 0))
+    for _, d, t in docs:
+        lines = [x.strip(" ") for x in t.split("\n") if x.strip(" ")]
+        gone, new = set(), set()
+        for s in range(len(lines)):
+            for e in range(s + 1, len(lines) + 1):
+                run = tuple(lines[s:e])
+                if sum(x.count(" ") + 1 for x in run) >= min_words:
+                    if run in seen or (run in new):
+                        gone |= set(range(s, e))
+                    new.add(run)
+        seen |= new
+        out[d, t] = ("\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else t, len(lines), len(gone))
+    return out
+
+
+def run(spark, rows, min_words):
+    docs = spark.createDataFrame([(*r, "x", 5) for r in rows], "doc_id long, text string, removed string, pos int")
+    out = linededup.dedupe(docs, min_words, parts=3)
+    assert out.columns == [*docs.columns, "lines_before", "lines_removed"]
+    return out.collect()
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_equals_brute_force(spark, seed):
+    rng = np.random.default_rng(seed)
+    vocab = ["a b c", "d e", "f", "g h i j", "  ", "", "hot hot hot hot"] + [f"only {k} x" for k in range(20)]
+    rows = []
+    for i in range(60):
+        body = [vocab[k] for k in rng.integers(0, 7 if i % 2 else len(vocab), rng.integers(0, 14))]
+        if i % 3 == 0 and rows:  # a passage of an earlier document
+            src = rows[rng.integers(0, len(rows))][1].split("\n")
+            body[1:1] = src[: rng.integers(1, len(src) + 1)]
+        rows.append((i * 3, "\n".join(body)))
+    want = brute(rows, 9)
+    got = {(r["doc_id"], t): (r["text"], r["lines_before"], r["lines_removed"]) for r in run(spark, rows, 9) for t in [dict(rows)[r["doc_id"]]]}
+    assert got == want
+    assert sum(n for _, _, n in want.values()) > 20
+
+
+def test_edges(spark):
+    run_ = "one two three\nfour five six"
+    rows = [(7, run_ + "\nown"), (7, run_ + "\nown"), (None, run_), (3, None), (4, ""), (5, "x " * 3000 + "\n" + "\n".join(["y z"] * 400)), (9, run_ + "\n\n" + run_)]
+    out = {}
+    for r in run(spark, rows, 6):
+        out.setdefault(r["doc_id"], []).append((r["text"], r["lines_removed"]))
+    assert out[None] == [(run_, 0)]  # comes first
+    assert out[7] == [("own", 2)] * 2  # equal rows count as one document
+    assert out[3] == [(None, 0)] and out[4] == [("", 0)] and out[9] == [("", 4)]
+    assert out[5][0][1] == 399  # runs of three short lines overlap: all but the first line belong to a later copy
+
+
+def test_empty_table(spark):
+    assert run(spark, [], 50) == []
