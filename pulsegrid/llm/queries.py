@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, language, linededup, packing, quality, sharding, topk, toxicity
+from . import bpe, fingerprint, language, linededup, neardup, packing, quality, sharding, topk, toxicity
 from .tables import fold, read
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -46,6 +46,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).withColumn("held_out", held_out)
 
 
+def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(read(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), BYTE_TOKENIZER)
 
@@ -59,7 +63,7 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_linededup, op2_sharding, op3_packing, op4_toxicity, op5_language, op6_quality, op8_bpe, op9_topk, op10_fingerprint)}
+    return {f.__name__: f for f in (op1_linededup, op2_sharding, op3_packing, op4_toxicity, op5_language, op6_quality, op7_neardup, op8_bpe, op9_topk, op10_fingerprint)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,0 +1,105 @@
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from pulsegrid.llm import components, neardup, textvec
+from pulsegrid.llm.scratch import Scratch
+
+
+def weighted(text, k=5):
+    out = []
+    for _, _, buf, offs in textvec.blocks(pa.array([text])):
+        _, e, c = neardup.shingles(buf, offs, k)
+        out.append((e, c))
+    return out[0]
+
+
+def plain_similarity(a, b):
+    x, y = dict(zip(a[0].tolist(), a[1].tolist())), dict(zip(b[0].tolist(), b[1].tolist()))
+    keys = set(x) | set(y)
+    return sum(1 / sum(max(x.get(j, 0) / x[i], y.get(j, 0) / y[i]) for j in keys) for i in set(x) & set(y))
+
+
+def corpus(seed, n=60):
+    rng = np.random.default_rng(seed)
+    base = [[f"w{k}" for k in rng.integers(0, 500, rng.integers(3, 150))] for _ in range(8)]
+    rows = []
+    for i in range(n):
+        words = list(base[rng.integers(0, len(base))])
+        for _ in range(rng.integers(0, 4)):
+            words[rng.integers(0, len(words))] = f"n{rng.integers(0, 99)}"
+        rows.append((i * 2 + 1, " ".join(words)))
+    return rows
+
+
+def test_exact_similarity():
+    rng = np.random.default_rng(0)
+    for _ in range(50):
+        a, b = ((np.sort(rng.choice(30, 12, replace=False)).astype(np.uint64), rng.integers(1, 5, 12)) for _ in range(2))
+        assert neardup.probability_jaccard(a, b) == pytest.approx(plain_similarity(a, b))
+
+
+def test_registers_estimate_the_similarity():
+    rows = corpus(3, 40)
+    texts = [t for _, t in rows]
+    sig, sets = [], []
+    for lo, hi, buf, offs in textvec.blocks(pa.array(texts)):
+        r, e, c = neardup.shingles(buf, offs, 5)
+        sig.append(neardup.signatures(r, e, c, hi - lo, 1024))
+    sig = np.concatenate(sig)
+    for i in range(0, 40, 3):
+        for j in range(1, 40, 5):
+            want = neardup.probability_jaccard(weighted(texts[i]), weighted(texts[j]))
+            assert abs((sig[i] == sig[j]).mean() - want) < 0.08
+
+
+def test_signature_does_not_depend_on_neighbours():
+    texts = [t for _, t in corpus(4, 6)]
+    whole = [neardup.signatures(*neardup.shingles(buf, offs, 5), hi - lo, 120) for lo, hi, buf, offs in textvec.blocks(pa.array(texts))][0]
+    for i, t in enumerate(texts):
+        alone = [neardup.signatures(*neardup.shingles(buf, offs, 5), 1, 120) for _, _, buf, offs in textvec.blocks(pa.array([t]))][0]
+        assert (alone[0] == whole[i]).all()
+
+
+def brute(rows, similarity=0.8):
+    up = list(range(len(rows)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    sets = [weighted(t) if t else None for _, t in rows]
+    for i in range(len(rows)):
+        for j in range(i):
+            a, b = rows[i][1], rows[j][1]
+            if a is not None and b is not None and (a == b or (a and b and neardup.probability_jaccard(sets[i], sets[j]) >= similarity)):
+                up[root(i)] = root(j)
+    out = {}
+    for i, (d, _) in enumerate(rows):
+        out.setdefault(root(i), []).append(d)
+    return sorted((str(d), str(min((x for x in g if x is not None), default=None))) for g in out.values() for d in g)
+
+
+@pytest.mark.parametrize("block", [512, 3])
+def test_classes_equal_brute_force(spark, block):
+    rows = corpus(1) + [(900, None), (901, None), (902, ""), (903, ""), (904, "!!"), (None, "lone words"), (None, "lone words"), (905, "lone words"), (1, corpus(1)[0][1]), (906, "z " * 30000)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, class_id string")
+    params = neardup.Params(block=block)
+    got = sorted((str(r["doc_id"]), str(r["class_id"])) for r in neardup.classes(docs, params).collect())
+    assert got == brute(rows)
+    kept = neardup.keep_one(docs, params)
+    assert kept.columns == docs.columns
+    ids = sorted(str(r["doc_id"]) for r in kept.collect())
+    assert ids == sorted({c for d, c in got})
+
+
+def test_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert neardup.classes(docs).count() == 0 and neardup.keep_one(docs).count() == 0
+
+
+def test_components_of_chains_and_hubs(spark):
+    links = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7), (300, 299), (299, 300)]
+    out = {r["id"]: r["label"] for r in components.components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "t")).collect()}
+    assert all(out[i] == 0 for i in range(41)) and all(out[i] == 100 for i in range(100, 130)) and out[300] == out[299] == 299
