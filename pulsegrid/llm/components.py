@@ -18,18 +18,19 @@ def components(links: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
     ordered = lambda d: d.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     now = scratch.save(ordered(links), "links")
     state = None
-    if now.isEmpty():
+    n = now.count()  # no round makes more links
+    if not n:
         return now.select(F.col("a").alias("id"), F.col("b").alias("label"))
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b")
-        large = scratch.save(ordered(large), "large")
+        large = scratch.save(ordered(large), "large", n)
         # small star: among an id and its smaller neighbours, all to the least
         down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).unionByName(least.select(F.col("m").alias("a"), F.col("u").alias("b")))
-        nxt = scratch.save(ordered(small), "small")
+        nxt = scratch.save(ordered(small), "small", n)
         scratch.drop(now, large)
         now = nxt
         found = tuple(now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())

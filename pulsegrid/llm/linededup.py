@@ -36,43 +36,39 @@ def _id(name: str) -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(-(1 << 63)))
 
 
-def _rank(groups: DataFrame, keys: list[str], parts: int) -> DataFrame:
+def _rank(groups: DataFrame, keys: list[str]) -> DataFrame:
     """A long rank for each row that follows the order of ``keys``; rows are distinct, ranks have gaps."""
-    return groups.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select(*keys, F.monotonically_increasing_id().alias("next"))
+    return groups.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*keys, F.monotonically_increasing_id().alias("next"))
 
 
 def _repeated(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys)
 
 
-def later_copies(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
+def later_copies(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(d, th, removed): the places, from 0 among its lines that are not blank, of the lines to delete in a document.
 
     d is the id (the smallest long if null) and th a hash of the text; documents without such lines have no row.
     """
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     scratch = Scratch(spark, "lines")
     lines = docs.select(_id(id_col).alias("d"), F.xxhash64(text_col).alias("th"), F.posexplode(lines_of(F.col(text_col))).alias("pos", "line"))
     words = F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1
     lines = scratch.save(lines.select(*WHERE, F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line").alias("h2"), words.cast("long").alias("w")), "lines")
 
-    ids = scratch.save(_rank(_repeated(lines, ["h", "h2"]), ["h", "h2"], parts), "ids")
+    ids = _rank(_repeated(lines, ["h", "h2"]), ["h", "h2"])
     base = scratch.save(lines.join(ids, ["h", "h2"]).select(*WHERE, "w", F.col("next").alias("rank")), "level")
-    scratch.drop(lines, ids)
+    scratch.drop(lines)
     doc = Window.partitionBy(*DOC)
     levels, k = [base.select(*WHERE, "rank", F.lit(1).alias("k"))], 1
-    while 2 * k <= min_words:
+    n = levels[0].count()
+    while 2 * k <= min_words and n:
         ahead = doc.orderBy("pos").rangeBetween(k, k)
         pairs = levels[-1].withColumn("second", F.max("rank").over(ahead)).where("second is not null").select(*WHERE, "rank", "second")
-        pairs = scratch.save(pairs, "pairs")
-        names = scratch.save(_rank(_repeated(pairs, ["rank", "second"]), ["rank", "second"], parts), "names")
+        names = _rank(_repeated(pairs, ["rank", "second"]), ["rank", "second"])
         k *= 2
-        level = scratch.save(pairs.join(names, ["rank", "second"]).select(*WHERE, F.col("next").alias("rank"), F.lit(k).alias("k")), "level")
-        scratch.drop(pairs, names)
-        if level.isEmpty():
-            break
-        levels.append(level)
+        levels.append(scratch.save(pairs.join(names, ["rank", "second"]).select(*WHERE, F.col("next").alias("rank"), F.lit(k).alias("k")), "level", n))
+        n = levels[-1].count()
 
     # islands: neighbouring lines that all occur elsewhere; c0, c1: words before and through a line
     near = base.select(*WHERE, "w").withColumn("island", F.col("pos") - F.row_number().over(doc.orderBy("pos")))
@@ -95,7 +91,7 @@ def later_copies(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", t
         ranks = ranks.unionByName(level)
     runs = runs.join(ranks.withColumnRenamed("rank", "a"), [*WHERE, "k"])
     last = ranks.select(*DOC, F.col("pos").alias("other"), "k", F.col("rank").alias("b"))
-    runs = scratch.save(runs.join(last, [*DOC, "other", "k"]).select(*WHERE, "m", "a", "b"), "runs")
+    runs = scratch.save(runs.join(last, [*DOC, "other", "k"]).select(*WHERE, "m", "a", "b"), "runs", 2 * levels[0].count())
     scratch.drop(base, *levels[1:])
 
     at = F.struct(*WHERE)
@@ -105,7 +101,7 @@ def later_copies(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", t
     return spans.groupBy(*DOC).agg(F.array_sort(F.collect_set("at")).alias("removed"))
 
 
-def dedupe(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
+def dedupe(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the later copies of line runs of at least ``min_words`` words cut out of the text.
 
     Earlier means smaller (id, hash of the text, line); a null id comes first.  Two columns follow: lines_before and lines_removed
@@ -113,7 +109,7 @@ def dedupe(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_co
     empty; other texts are left as they are.  Null and empty texts have no lines; rows equal in id and text
     count as one document; a run may repeat and overlap within one text; an empty table gives no rows.
     """
-    gone = later_copies(docs, min_words, id_col, text_col, parts).select("d", "th", "removed")
+    gone = later_copies(docs, min_words, id_col, text_col).select("d", "th", "removed")
     old = F.col("row")[text_col]
     lines, n = lines_of(old), F.coalesce(F.size(lines_of(old)), F.lit(0))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed")), lambda i: F.element_at(lines, i + 1))

@@ -14,6 +14,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+ROWS_PER_FILE = 100_000
+
+
 def root(spark: SparkSession) -> str:
     """The shared scratch folder of this session."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -40,7 +43,10 @@ class Scratch:
         self.spark, self.base, self.n = spark, f"{root(spark)}/{label}-{uuid.uuid4().hex}", 0
         atexit.register(_remove, spark, self.base)
 
-    def save(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def save(self, df: DataFrame, name: str = "t", rows: int | None = None) -> DataFrame:
+        """``rows``, where an upper bound of them is known, sets the number of files, about ROWS_PER_FILE each."""
+        if rows is not None:
+            df = df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
         path = f"{self.base}/{self.n:03d}-{name}"
         self.n += 1
         df.write.option("compression", "zstd").parquet(path)

@@ -25,7 +25,7 @@ def brute(rows, min_words):
 
 def run(spark, rows, min_words):
     docs = spark.createDataFrame([(*r, "x", 5) for r in rows], "doc_id long, text string, removed string, pos int")
-    out = linededup.dedupe(docs, min_words, parts=3)
+    out = linededup.dedupe(docs, min_words)
     assert out.columns == [*docs.columns, "lines_before", "lines_removed"]
     return out.collect()
 
