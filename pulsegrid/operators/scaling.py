@@ -82,6 +82,8 @@ def standardise(df: DataFrame, mode: str, cols: list[str], n_ref: int = 100, cli
     if mode not in ("baseline", "subject"):
         raise ValueError(f"unknown mode {mode!r}")
     cols = [c for c in cols if c != TIME]
+    if not cols:
+        return df
     cohort = {r["feature"]: r["iqr"] for r in cohort_iqr(df, cols).collect()}  # one number per feature
     refs = centre_scale(df, cols, n_ref if mode == "baseline" else None, cohort)
     if mode == "baseline":

@@ -14,7 +14,7 @@ from pulsegrid import contract
 from pulsegrid.config import Config, one_hertz
 from pulsegrid.functions import arrays as A
 from pulsegrid.functions import signal
-from pulsegrid.operators import diagnose, features, metrics, quality, scaling, timebase, windows
+from pulsegrid.operators import features, timebase, windows
 from pulsegrid.sources import fixtures as X
 from pulsegrid.sources import ingest
 

@@ -82,7 +82,7 @@ SQL_REC = """rec AS (
     FROM rec
 ), dur AS (SELECT subject, count(*) * 1.0 AS duration FROM wide GROUP BY subject
 ), grid AS (
-    SELECT subject, unnest(range(0, ((duration - 60) // 5)::BIGINT + 1)) AS w FROM dur WHERE duration >= 60
+    SELECT subject, unnest(range(0, floor((duration - 60) / 5)::BIGINT + 1)) AS w FROM dur WHERE duration >= 60
 )"""
 SQL_FEAT = """rec AS (
     SELECT CAST(l_suppkey AS VARCHAR) AS subject, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax,
