@@ -32,6 +32,9 @@ from .components import components
 from .scratch import Scratch
 
 
+BROADCAST_ROWS = 500_000
+
+
 @dataclass(frozen=True)
 class Params:
     words: int = 5
@@ -281,7 +284,9 @@ def text_classes(rows: DataFrame, p: Params, scratch: Scratch) -> tuple[DataFram
     sizes = family.groupBy("label").agg(F.count("*").alias("n"))
     named = family.join(sizes, "label").join(texts.select("id", "digest", "least"), "id")
     named = scratch.save(named.select("label", "n", "id", F.col("digest").alias("_d"), F.col("least").alias("_l")), "named")
-    wanted = hashed.join(named, (F.col("digest") == F.col("_d")) & F.col("doc").eqNullSafe(F.col("_l"))).select("label", "n", "id", "text")
+    # a side of few rows of 50 bytes spares all other texts the exchange; beyond the bound both sides are exchanged
+    near = F.broadcast(named) if named.count() <= BROADCAST_ROWS else named
+    wanted = hashed.join(near, (F.col("digest") == F.col("_d")) & F.col("doc").eqNullSafe(F.col("_l"))).select("label", "n", "id", "text")
     wanted = block_pairs(wanted, "label", "n", "id", p.block).repartition(parts, "label", "i", "j").sortWithinPartitions("label", "i", "j", "id")
     joined = components(wanted.select("label", "i", "j", "id", "blk", "text").mapInArrow(_exact_links(p), LINK), scratch)
 
