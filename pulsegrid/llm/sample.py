@@ -31,20 +31,28 @@ def fit_in_shards(train: DataFrame, shards: int, rounds: int, start: np.ndarray,
     dealt = train.withColumn("shard", F.pmod(F.col("pick"), F.lit(shards)).cast("int")).repartition(shards, "shard")
     state = start
 
-    def fit_from(now: np.ndarray):
+    shape = start.shape
+
+    def pack(x: np.ndarray) -> bytes:
+        return zlib.compress(x.astype(np.float32).tobytes(), 1)
+
+    def unpack(raw: bytes) -> np.ndarray:
+        return np.frombuffer(zlib.decompress(raw), np.float32).reshape(shape).astype(np.float64)
+
+    def fit_from(now: bytes):
         def run(frame):
             import pandas as pd
 
             frame = frame.sort_values("pick", kind="stable")
-            done = step(list(frame["text"].fillna("")), frame["y"].to_numpy(dtype=np.float64), now.copy())
-            return pd.DataFrame({"n": [len(frame)], "state": [zlib.compress(done.astype(np.float32).tobytes(), 1)]})
+            done = step(list(frame["text"].fillna("")), frame["y"].to_numpy(dtype=np.float64), unpack(now))
+            return pd.DataFrame({"n": [len(frame)], "state": [pack(done)]})
 
         return run
 
     for _ in range(rounds):
-        parts = dealt.groupBy("shard").applyInPandas(fit_from(state), "n long, state binary").collect()
+        parts = dealt.groupBy("shard").applyInPandas(fit_from(pack(state)), "n long, state binary").collect()
         if not parts:
             return state
         total = sum(p["n"] for p in parts)
-        state = sum(p["n"] / total * np.frombuffer(zlib.decompress(p["state"]), np.float32).reshape(start.shape).astype(np.float64) for p in parts)
+        state = sum(p["n"] / total * unpack(p["state"]) for p in parts)
     return state

@@ -1,6 +1,6 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features are the distinct words, word pairs and pairs with one word between, hashed to 2**18 coordinates.
+Features are the distinct words, word pairs and pairs with one word between, hashed to 2**21 coordinates.
 FTRL-proximal keeps z and n per coordinate: the rate falls with the root of n, and a coordinate with |z| <= L1
 has weight 0.  Shards of a bounded labelled sample are fitted apart and z and n averaged, twice; the non-zero
 weights are what every scoring task gets.
@@ -22,12 +22,12 @@ from . import sample, textvec
 
 @dataclass(frozen=True)
 class Params:
-    bits: int = 18
+    bits: int = 21
     alpha: float = 2.0
     beta: float = 1.0
     l1: float = 2.5
     l2: float = 0.0
-    max_rows: int = 16_000
+    max_rows: int = 32_000
     shards: int = 4
     rounds: int = 2
     passes: int = 2
@@ -83,8 +83,10 @@ class Model:
     bias: float
 
     def score(self, texts: pa.Array) -> np.ndarray:
-        table = np.zeros(1 << self.params.bits)
-        table[self.at] = self.weight
+        table = self.__dict__.get("_table")
+        if table is None:  # once per worker
+            table = self.__dict__["_table"] = np.zeros(1 << self.params.bits)
+            table[self.at] = self.weight
         out = np.zeros(len(texts))
         for lo, hi, buf, offs in textvec.blocks(texts):
             r, v = features(buf, offs, self.params.bits)
