@@ -35,7 +35,7 @@ class SortedLists:
         up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
         seen = self.ids == own
         at, score, depth, last, done = np.zeros(0, np.int64), np.zeros(0, self.x.dtype), 0, 0, False
-        while not done and max(FIRST_DEPTH, depth * GROWTH) * (len(up) + len(down)) < n:
+        while not done and max(FIRST_DEPTH, depth * GROWTH) * max(1, len(up) + len(down)) < n:
             last, depth = depth, max(FIRST_DEPTH, depth * GROWTH)
             met = np.zeros(n, dtype=bool)
             met[self.lists[up, n - depth : n - last]] = True
