@@ -14,6 +14,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .scratch import Scratch
 
@@ -80,19 +81,17 @@ def permuted(x: Column, n: int, seed: int) -> Column:
 def number_rows(df: DataFrame, order: list, scratch: Scratch, parts: int) -> tuple[DataFrame, int]:
     """``df`` with a gapless long ``row`` from 0 in the given order, and the row count.
 
-    The sorted rows are written with (partition, place in it); the partition sizes, one row each, give the
-    offsets, and their number is fixed by ``parts``.
+    The sorted rows are written with (partition, place in it); the running sum of the partition sizes, a table
+    of at most ``parts`` rows, gives the offsets and is broadcast.
     """
     low = F.lit((1 << 33) - 1)
     placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
     placed = scratch.save(placed, "numbered").withColumn("_part", F.shiftright("_id", 33)).withColumn("_at", F.col("_id").bitwiseAND(low)).drop("_id")
-    sizes = sorted((r["_part"], r["n"]) for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect())
-    total, offsets = 0, []
-    for part, n in sizes:
-        offsets += [F.lit(part), F.lit(total).cast("long")]
-        total += n
-    before = F.create_map(*offsets)[F.col("_part")] if offsets else F.lit(0).cast("long")
-    return placed.withColumn("row", before + F.col("_at")).drop("_part", "_at"), total
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("n"))  # one row per partition
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    out = placed.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part")
+    return out.withColumn("row", F.col("_before") + F.col("_at")).drop("_part", "_at", "_before"), total
 
 
 def shard(docs: DataFrame, shards: int = 16, seed: int = 20240501, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
