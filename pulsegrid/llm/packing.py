@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 WINDOW = 2048
 END_ID = 1
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
