@@ -119,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, eligible: Column, grade: Column, par
     start[0, 1 << params.bits] = -2.0
     state = sample.fit_in_shards(train, params.shards, params.rounds, start, _step(params))
     m = 1 << params.bits
-    return Model(params, state[0, :m].astype(np.float32), thresholds(state[0, m:]))
+    return Model(params, state[0, :m].astype(np.float32), thresholds(state[0, m:].astype(np.float64)))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

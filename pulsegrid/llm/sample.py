@@ -34,17 +34,17 @@ def fit_in_shards(train: DataFrame, shards: int, rounds: int, start: np.ndarray,
     shape = start.shape
 
     def pack(x: np.ndarray) -> bytes:
-        return zlib.compress(x.astype(np.float32).tobytes(), 1)
+        return zlib.compress(x.astype(np.float32, copy=False).tobytes(), 1)
 
     def unpack(raw: bytes) -> np.ndarray:
-        return np.frombuffer(zlib.decompress(raw), np.float32).reshape(shape).astype(np.float64)
+        return np.frombuffer(zlib.decompress(raw), np.float32).reshape(shape)
 
     def fit_from(now: bytes):
         def run(frame):
             import pandas as pd
 
             frame = frame.sort_values("pick", kind="stable")
-            done = step(list(frame["text"].fillna("")), frame["y"].to_numpy(dtype=np.float64), unpack(now))
+            done = step(list(frame["text"].fillna("")), frame["y"].to_numpy(dtype=np.float64), unpack(now).astype(np.float64))
             return pd.DataFrame({"n": [len(frame)], "state": [pack(done)]})
 
         return run
@@ -54,5 +54,7 @@ def fit_in_shards(train: DataFrame, shards: int, rounds: int, start: np.ndarray,
         if not parts:
             return state
         total = sum(p["n"] for p in parts)
-        state = sum(p["n"] / total * unpack(p["state"]) for p in parts)
+        state = np.zeros(shape, dtype=np.float32)
+        for p in parts:  # one state at a time, in single precision
+            state += np.float32(p["n"] / total) * unpack(p["state"])
     return state

@@ -2,8 +2,9 @@
 
 Features are the distinct words, word pairs and pairs with one word between, hashed to 2**21 coordinates.
 FTRL-proximal keeps z and n per coordinate: the rate falls with the root of n, and a coordinate with |z| <= L1
-has weight 0.  Shards of a bounded labelled sample are fitted apart and z and n averaged, twice; the non-zero
-weights are what every scoring task gets.
+has weight 0.  Shards of a bounded labelled sample are fitted apart and z and n averaged, twice; a shard leaves
+out coordinates with |z| under a quarter of L1, so what it sends is small.  The non-zero weights are what every scoring
+task gets.
 """
 
 from __future__ import annotations
@@ -58,7 +59,7 @@ def _step(p: Params):
         rows = []
         for lo, hi, buf, offs in textvec.blocks(pa.array(texts, pa.large_string())):
             r, v = features(buf, offs, p.bits)
-            rows += np.split(v, np.searchsorted(r, np.arange(1, hi - lo)))
+            rows += [x.astype(np.int32) for x in np.split(v, np.searchsorted(r, np.arange(1, hi - lo)))]
         for k in range(p.passes):
             for i in np.random.default_rng(k).permutation(len(rows)):
                 at = np.append(rows[i], bias)
@@ -68,6 +69,9 @@ def _step(p: Params):
                 root = np.sqrt(state[1, at])
                 state[0, at] += g - (np.sqrt(state[1, at] + g * g) - root) / p.alpha * w
                 state[1, at] += g * g
+        faint = np.abs(state[0]) < p.l1 / 4  # no mean of shards passes L1 by such as these
+        faint[bias] = False
+        state[:, faint] = 0
         return state
 
     return step
@@ -103,11 +107,11 @@ def fit(docs: DataFrame, labels: DataFrame, eligible: Column, target: str = "tox
     """
     y = F.when(F.col(target).isin(0, 1), F.col(target).cast("double"))
     train = sample.labelled(docs, labels, y, eligible, params.max_rows, id_col, text_col)
-    state = sample.fit_in_shards(train, params.shards, params.rounds, np.zeros((2, (1 << params.bits) + 1)), _step(params))
-    w, b = weights_of(state, params), 1 << params.bits
+    state = sample.fit_in_shards(train, params.shards, params.rounds, np.zeros((2, (1 << params.bits) + 1), np.float32), _step(params))
+    b = 1 << params.bits
     bias = -state[0, b] / ((params.beta + np.sqrt(state[1, b])) / params.alpha + params.l2) if state[1, b] else -4.0
-    at = np.flatnonzero(w[:-1])
-    return Model(params, at, w[at], float(bias))
+    at = np.flatnonzero((state[0, :-1] > params.l1) | (state[0, :-1] < -params.l1))
+    return Model(params, at, weights_of(state[:, at].astype(np.float64), params), float(bias))
 
 
 def scored(docs: DataFrame, score, text_col: str = "text", names: tuple[str, ...] = ("score",)) -> DataFrame:
