@@ -57,7 +57,8 @@ def later_copies(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", t
     lines = scratch.save(lines.select(*WHERE, F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line").alias("h2"), words.cast("long").alias("w")), "lines")
 
     ids = _rank(_repeated(lines, ["h", "h2"]), ["h", "h2"])
-    base = scratch.save(lines.join(ids, ["h", "h2"]).select(*WHERE, "w", F.col("next").alias("rank")), "level")
+    # rows equal in id and text are one document: each of its lines is kept once
+    base = scratch.save(lines.join(ids, ["h", "h2"]).select(*WHERE, "w", F.col("next").alias("rank")).distinct(), "level")
     scratch.drop(lines)
     doc = Window.partitionBy(*DOC)
     levels, k = [base.select(*WHERE, "rank", F.lit(1).alias("k"))], 1

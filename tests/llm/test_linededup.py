@@ -59,5 +59,22 @@ def test_edges(spark):
     assert out[5][0][1] == 399  # runs of three short lines overlap: all but the first line belong to a later copy
 
 
+@pytest.mark.parametrize("copies", [2, 3])
+@pytest.mark.parametrize("first, second", [(1, 2), (2, 1), (None, None)])
+def test_repeated_row_with_a_run_of_short_lines(spark, copies, first, second):
+    """A row given several times, as the earlier and as the later copy; the run needs six lines to reach twelve words."""
+    passage = "\n".join(f"p{i} q{i}" for i in range(7))
+    rows = [(first, f"start {first}\n{passage}")] * copies + [(second, f"{passage}\nend of it")]
+    want = brute(rows, 12) if first != second else None
+    out = run(spark, rows, 12)
+    assert len(out) == copies + 1
+    if want is None:  # equal null ids: the hash of the text orders them, and one of the two texts keeps the passage
+        assert sorted({r["lines_removed"] for r in out}) == [0, 7]
+    else:
+        texts = {d: t for d, t in rows}
+        assert all((r["text"], r["lines_before"], r["lines_removed"]) == want[r["doc_id"], texts[r["doc_id"]]] for r in out)
+        assert sum(r["lines_removed"] for r in out) in (7, 7 * copies)
+
+
 def test_empty_table(spark):
     assert run(spark, [], 50) == []
