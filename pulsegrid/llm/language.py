@@ -167,26 +167,46 @@ class Model:
         return langs, score
 
 
+def fill(parts: list[str], room: int, least: int = 8) -> list[str]:
+    """The beginnings of ``parts`` in their order, equally far each, of ``room`` characters together or all there are.
+
+    None gets more than an eighth of the room unless the parts would not fill it so.
+    """
+    cap = max(1, room // least)
+    while sum(min(len(x), cap) for x in parts) < min(room, sum(map(len, parts))):
+        cap *= 2
+    out = []
+    for x in parts:
+        if room > 0:
+            out.append(x[: min(cap, room)])
+            room -= len(out[-1])
+    return out
+
+
 def fit(docs: DataFrame, eligible: Column, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learn from at most ``max_chars`` characters of whole documents per language, about ``sample_rows`` of them.
+    """Learn from at most ``max_chars`` characters per language, of about ``sample_rows`` of its documents.
 
-    The documents of least hash are taken; a language's share of them is set from its count, so no language is
-    gathered as a group.  Rows with null language or text, and those where ``eligible`` fails, teach nothing.
+    The documents of least hash are taken, each once; a language's share of them is set from its count, and its first
+    document is always among them, so no language is gathered as a group and none that has a text with a letter is left out.
+    A document teaches by a stretch that starts at a letter, in one longer than ``max_chars`` at a place chosen by hash.
+    Rows with null language or text, those where ``eligible`` fails and texts without a letter teach nothing.
     """
-    pool = docs.where(eligible & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    pool = pool.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.lit(29), F.col(id_col)), F.lit(1 << 30)).alias("pick"))
-    counts = {r["lang"]: r["n"] for r in pool.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    pool = docs.where(eligible & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    pool = pool.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.lit(29), F.col(id_col), F.col(text_col)), F.lit(1 << 30)).alias("pick"))
+    counts = {r["lang"]: r for r in pool.groupBy("lang").agg(F.approx_count_distinct("pick").alias("n"), F.min("pick").alias("first")).collect()}
     if not counts:
         return Model.build({}, params.block)
-    limits = F.create_map(*[x for lang, n in sorted(counts.items()) for x in (F.lit(lang), F.lit(int((1 << 30) * min(1.0, params.sample_rows / n))))])
-    rows = pool.where((F.col("pick") <= limits[F.col("lang")]) & (F.length("text") <= params.max_chars)).orderBy("pick", "text").limit(4 * params.sample_rows * len(counts)).collect()
-    texts: dict[str, list[bytes]] = {}
-    used: dict[str, int] = {}
-    for r in rows:
-        if used.get(r["lang"], 0) + len(r["text"]) <= params.max_chars:
-            used[r["lang"]] = used.get(r["lang"], 0) + len(r["text"])
-            texts.setdefault(r["lang"], []).append(folded(r["text"]))
-    return Model.build({lang: bytes([GAP]).join(parts) for lang, parts in texts.items()}, params.block)
+    limits = F.create_map(*[x for lang, r in sorted(counts.items()) for x in (F.lit(lang), F.lit(max(r["first"], int((1 << 30) * min(1.0, params.sample_rows / max(1, r["n"]))))))])
+    start = F.pmod(F.xxhash64(F.lit(31), F.col("pick")), F.greatest(F.length("text") - params.max_chars + 1, F.lit(1))) + 1
+    at_letter = lambda x: F.regexp_replace(x, r"^\P{L}+", "")
+    stretch = at_letter(F.substring("text", start.cast("int"), F.lit(params.max_chars)))
+    stretch = F.when(stretch != "", stretch).otherwise(F.substring(at_letter(F.col("text")), 1, params.max_chars))
+    rows = pool.where(F.col("pick") <= limits[F.col("lang")]).select("lang", "pick", stretch.alias("text"))
+    rows = rows.groupBy("lang", "pick").agg(F.min("text").alias("text")).collect()
+    texts: dict[str, list[str]] = {}
+    for r in sorted(rows, key=lambda r: r["pick"]):
+        texts.setdefault(r["lang"], []).append(r["text"])
+    return Model.build({lang: bytes([GAP]).join(folded(x) for x in fill(parts, params.max_chars)) for lang, parts in texts.items()}, params.block)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -70,6 +70,26 @@ def test_held_out_accuracy_and_edges(docs):
     assert {r["lang_pred"] for r in language.identify(docs, none).collect()} == {"und"}
 
 
+def test_language_of_long_texts_only_is_learned(spark):
+    rng = np.random.default_rng(4)
+    words = {**WORDS, "dd": ["kala", "meri", "yksi", "joki"], "ee": ["zorg", "blik", "punt"]}
+    rows = [(i, " ".join(rng.choice(words["aa"], 20)), "aa") for i in range(300)]
+    rows += [(1000 + i, " ".join(rng.choice(words["dd"], 600)), "dd") for i in range(400)]  # each text is longer than max_chars
+    rows += [(None, "12 " * 900 + "zorg blik punt", "ee")] * 400 + [(None, "77 !", "ee")] * 400  # equal rows; the letters come last
+    rows += [(9000, "7 8 9", "ff"), (9001, "meri joki kala", None), (9002, "the ship was", None), (9003, "blik punt zorg", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs, docs.doc_id.isNull() | (docs.doc_id < 9001), language.Params(max_chars=2000))
+    assert model.langs == ["aa", "dd", "ee"]
+    out = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs.where("lang is null"), model).collect()}
+    assert out == {9001: "dd", 9002: "aa", 9003: "ee"}
+
+
+def test_stretches_fill_the_room():
+    assert language.fill(["a" * 90], 80) == ["a" * 80]
+    assert [len(x) for x in language.fill(["a" * 90] * 20, 80)] == [10] * 8
+    assert language.fill(["ab", "cde"], 80) == ["ab", "cde"]
+
+
 def test_order_of_rows_does_not_matter():
     model = language.Model.build({"aa": b"the ship", "bb": b"das"}, block=4)
     texts = ["the ship das", "das", ""]
