@@ -25,7 +25,7 @@ class SortedLists:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         by_id = np.argsort(ids, kind="stable")  # then a smaller place is a smaller id
-        self.ids, self.x = ids[by_id], np.ascontiguousarray(vectors[by_id])
+        self.by_id, self.ids, self.x = by_id, ids[by_id], np.ascontiguousarray(vectors[by_id])
         self.lists = np.ascontiguousarray(np.argsort(self.x, axis=0, kind="stable").T.astype(np.int32))  # dimension x rank, ascending
         self.values = np.ascontiguousarray(np.take_along_axis(self.x, self.lists.T, axis=0).T)
 
@@ -52,7 +52,7 @@ class SortedLists:
         return at, score, done
 
     def top(self, own: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(ids, scores) of the k best rows other than its own for each query, ties to the smaller id.
+        """(places, scores) of the k best rows other than its own for each query, ties to the smaller id.
 
         Queries whose bound still allows a better row when a part of the lists is read go to the lists' end
         together: every row is scored, by one matrix product for 64 queries.
@@ -78,7 +78,7 @@ class SortedLists:
                 out[i] = (at, row[at])
         for i, (at, score) in enumerate(out):
             order = np.lexsort((at, -score))[:k]
-            out[i] = (self.ids[at[order]], score[order])
+            out[i] = (at[order], score[order])
         return out
 
 
@@ -93,16 +93,18 @@ def _search(k: int):
     def run(rows, queries):
         import pandas as pd
 
-        out = {"query_id": [], "vec_id": [], "score": []}
+        out = {"query_id": [], "vec_id": [], "row": [], "score": []}
         if len(rows) and len(queries):
             width = max(rows["v"].map(len).max(), queries["v"].map(len).max(), 1)
             x, q = _matrix(rows["v"], width), _matrix(queries["v"], width)
             if np.abs(x).max() * np.abs(q).max() * width < 1 << 24:  # sums stay exact in single precision
                 x, q = x.astype(np.float32), q.astype(np.float32)
             block, own = SortedLists(rows["vec_id"].to_numpy(), x), queries["vec_id"].tolist()
-            for qid, (ids, score) in zip(own, block.top(queries["vec_id"].to_numpy(), q, k)):
-                out["query_id"].append(np.full(len(ids), qid))
-                out["vec_id"].append(ids)
+            row = rows["row"].to_numpy()[block.by_id]
+            for qid, (at, score) in zip(own, block.top(queries["vec_id"].to_numpy(), q, k)):
+                out["query_id"].append(np.full(len(at), qid))
+                out["vec_id"].append(block.ids[at])
+                out["row"].append(row[at])
                 out["score"].append(score.astype(np.int64))
         return pd.DataFrame({c: np.concatenate(v) if v else np.zeros(0, np.int64) for c, v in out.items()})
 
@@ -121,14 +123,17 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, row_block: int = R
 
     ``vectors`` is (vec_id, v array<long>); a shorter vector counts as padded with zeros; rows that share the
     query's id are its own and no candidates; ties go to the smaller id; fewer than k candidates give all.
+    Every other row is a candidate, also one that shares its id with another.  Query rows that share an id are one query:
+    a candidate row counts once, with its best score over their vectors.
     Scores are exact below 2**53.  An empty table or query set gives no rows.
     """
-    n, q = vectors.agg(F.count("*"), F.count_if(is_query)).first()
+    n, q = vectors.agg(F.count("*"), F.approx_count_distinct(F.when(is_query, F.xxhash64("vec_id", "v")))).first()
     rows_in, queries_in = max(1, -(-n // row_block)), max(1, -(-q // query_block))
     spread = lambda salt, m: F.pmod(F.xxhash64(F.lit(salt), F.col("vec_id"), F.col("v")), F.lit(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    rows = vectors.withColumn("rb", spread(1, rows_in)).withColumn("qb", every(queries_in))
-    queries = vectors.where(is_query).withColumn("qb", spread(2, queries_in)).withColumn("rb", every(rows_in))
-    found = rows.groupBy("rb", "qb").cogroup(queries.groupBy("rb", "qb")).applyInPandas(_search(k), "query_id long, vec_id long, score long")
+    rows = vectors.select("vec_id", "v", F.monotonically_increasing_id().alias("row")).withColumn("rb", spread(1, rows_in)).withColumn("qb", every(queries_in))
+    queries = vectors.where(is_query).select("vec_id", "v").distinct().withColumn("qb", spread(2, queries_in)).withColumn("rb", every(rows_in))
+    found = rows.groupBy("rb", "qb").cogroup(queries.groupBy("rb", "qb")).applyInPandas(_search(k), "query_id long, vec_id long, row long, score long")
+    found = found.groupBy("query_id", "vec_id", "row").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

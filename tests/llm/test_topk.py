@@ -33,6 +33,22 @@ def test_equals_brute_force(spark, kind, n):
     assert sorted(map(tuple, got.collect())) == brute(rows, lambda i: i % 20 == 0, 7)
 
 
+@pytest.mark.parametrize("query_block", [4, 900])
+def test_repeated_query_rows_are_one_query(spark, query_block):
+    """Query 20 comes 20 times, query 40 with two vectors; a candidate row counts once, with its best score, and equal candidates each."""
+    rng = np.random.default_rng(7)
+    rows = [(i, [int(x) for x in rng.integers(-9, 10, 6)]) for i in range(300)]
+    rows += [rows[20]] * 19 + [(40, [-x for x in rows[40][1]])] + [rows[33]]
+    want = []
+    for qid in sorted({i for i, _ in rows if i % 20 == 0}):
+        own = [v for i, v in rows if i == qid]
+        best = sorted((-max(sum(a * b for a, b in zip(v, w)) for v in own), j) for j, w in rows if j != qid)[:20]
+        want += [(qid, r + 1, j, -d) for r, (d, j) in enumerate(best)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = topk.search(df, F.col("vec_id") % 20 == 0, k=20, row_block=90, query_block=query_block)
+    assert sorted(map(tuple, got.collect())) == want
+
+
 def test_bound_stops_early_on_clustered_rows():
     rng = np.random.default_rng(5)
     x = np.array([v for _, v in rows_of("clustered", 3000, rng)])
