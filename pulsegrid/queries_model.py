@@ -14,7 +14,7 @@ from pulsegrid.sources import shared
 from pulsegrid.streaming import live
 
 COLS = X.FEATS
-SMALL = loso.Trees(rf_trees=20, gbt_rounds=10, max_depth=6)
+SWEEP_SETS = ["all", "no_posture", "no_temp", "clean", "eda_only", "time_only", "clean_plus_time", "eda_plus_time"]
 
 # ---- acceptance --------------------------------------------------------------------------------------------------
 
@@ -310,7 +310,8 @@ def ceiling_delta(spark, sf):
 
 
 def _run(spark, sf, task, model, **kw):
-    return loso.run(X.features(spark, sf), task, model, "eda_only", k=3, trees=SMALL, **kw)
+    df = X.features(spark, sf)
+    return loso.run(df, task, model, "eda_only", k=loso.groups(df), **kw)
 
 
 @query()
@@ -330,7 +331,8 @@ def permutation_importance(spark, sf):
 
 @query()
 def ablation_sweep(spark, sf):
-    return loso.sweep(X.features(spark, sf), ["binary"], ["rf"], ["all", "eda_plus_time", "time_only"], k=3, trees=SMALL)
+    df = X.features(spark, sf)
+    return loso.sweep(df, ["binary", "3class"], ["rf"], SWEEP_SETS, k=loso.groups(df))
 
 
 # ---- export and scoring ------------------------------------------------------------------------------------------
@@ -369,7 +371,7 @@ def score_ready_rows(spark, sf):
 @query()
 def fit_final(spark, sf):
     df = X.features(spark, sf)
-    model, sidecar = export.fit_final(df, "3class", "rf", "eda_only", trees=SMALL)
+    model, sidecar = export.fit_final(df, "3class", "rf", "eda_only")
     cols = sidecar["feature_names"]
     refs = scoring.wearer_reference(df, cols, sidecar["n_ref"], sidecar["cohort_iqr"])
     return scoring.score(df, refs, model, sidecar).select("subject", "t_start", "state")

@@ -187,6 +187,47 @@ def test_loso_never_leaks_and_skips_single_class_folds(spark):
     assert got.summary.first()["balanced_acc_mean"] > 0.7
 
 
+def test_registered_runs_are_whole(spark, monkeypatch):
+    """Default trees, a fold per subject up to the bound, both tasks and the eight sets of the sweep."""
+    from pulsegrid import queries_model
+
+    calls, df = [], feature_rows(spark, 4, 5)
+
+    class Done:
+        summary = permutation = spark.createDataFrame([("t", "m", "all", 0.0)], "task string, model string, feature_set string, balanced_acc_mean double")
+
+    def noted(df, task, model, feature_set, seed=0, mode="baseline", permutation=False, k=None, trees=loso.Trees(), threads=4):
+        calls.append((task, model, feature_set, k, trees))
+        return Done
+
+    monkeypatch.setattr(queries_model.X, "features", lambda *_: df)
+    monkeypatch.setattr(loso, "run", noted)
+    for q in (queries_model.loso_rf, queries_model.loso_gbt, queries_model.permutation_importance, queries_model.ablation_sweep):
+        q(spark, "")
+    assert {c[3:] for c in calls} == {(None, loso.Trees())} and loso.Trees() == loso.Trees(400, 300, 30)
+    assert len(calls) == 3 + 16 and len({c[:3] for c in calls[3:]}) == 16
+    assert loso.groups(df) is None and loso.groups(df, 3) == 3
+
+
+def test_grouped_folds_keep_scores_by_subject(spark):
+    got = loso.run(feature_rows(spark, 5, 40), "binary", "rf", "eda_only", k=2, trees=loso.Trees(rf_trees=3, max_depth=3))
+    assert {r["subject"] for r in got.folds.collect()} == {f"s{i}" for i in range(5)}
+
+
+def test_permuted_shuffles_within_folds_without_gathering_one(spark):
+    rows = [("a" if i % 3 else "b", f"s{i % 7}", float(i), float(i)) for i in range(500)]
+    df = spark.createDataFrame(rows, "fold string, subject string, t_start double, v double")
+    places = loso.numbered(df.repartition(5), "t_start").select("fold", "t_start", "_r").collect()
+    for fold in "ab":
+        mine = sorted((r["t_start"], r["_r"]) for r in places if r["fold"] == fold)
+        assert [r for _, r in mine] == list(range(len(mine)))
+    got = loso.permuted(df, "v", 3).collect()
+    for fold in "ab":
+        want = sorted(r[3] for r in rows if r[0] == fold)
+        assert sorted(r["v"] for r in got if r["fold"] == fold) == want == sorted(r["t_start"] for r in got if r["fold"] == fold)
+    assert sum(r["v"] != r["t_start"] for r in got) > 400
+
+
 def test_export_load_and_score(spark, tmp_path):
     df = feature_rows(spark, 3, 120)
     with pytest.raises(contract.ContractError):
