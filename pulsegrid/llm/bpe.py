@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .packing import LETTERS, NUMBERS, PLAIN
+from .packing import KEPT_CHARS, LETTERS, NUMBERS, PLAIN
+from .tables import small_batches
 
 CACHE_WORDS = 1_000_000
 #: The byte-level pre-tokenizer's pattern, and the same for plain texts with its classes spelled out.
@@ -180,7 +181,9 @@ class _Words(dict):
         self.encoder = encoder
 
     def __missing__(self, word: str) -> bytes:
-        self[word] = out = np.array(self.encoder.encode_word(word), dtype="<u4").tobytes()
+        out = np.array(self.encoder.encode_word(word), dtype="<u4").tobytes()
+        if len(word) <= KEPT_CHARS:
+            self[word] = out
         return out
 
 
@@ -219,6 +222,7 @@ def digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_c
                     text_sha.append(hashlib.sha256(enc.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=SCHEMA.names)
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, SCHEMA)
 
 
@@ -231,4 +235,5 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
             ids = [np.frombuffer(enc.encode(t or ""), dtype="<u4").astype(np.int32) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, ids array<int>")

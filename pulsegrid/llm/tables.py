@@ -1,15 +1,27 @@
-"""Reading the given tables by path."""
+"""Reading the given tables by path, and what all operators on texts share."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+TEXT_ROWS = 1_000
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of TEXT_ROWS rows, unless the session sets another number.
+
+    Spark's default of 10,000 texts per batch is held several times over, in the executor and in its Python workers.
+    """
+    if ROWS_SETTING not in spark.conf.getAll:
+        spark.conf.set(ROWS_SETTING, str(TEXT_ROWS))
+
+
 def fold(doc_id: str, k: int) -> Column:
     """crc32 of the id as text, modulo k; a null id falls in fold 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % k, F.lit(0))

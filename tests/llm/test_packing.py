@@ -45,17 +45,71 @@ def test_pieces_cover_documents_once(spark, rows):
     assert all(f <= 256 for f in fills.values())
 
 
-def test_sum_of_squares_picks_the_least_sum():
+@pytest.mark.parametrize("unit", [1, 4])
+def test_sum_of_squares_picks_the_least_sum(unit):
     rng = np.random.default_rng(3)
-    bins, w = packing.SumOfSquares(64), 64
-    for size in rng.integers(1, 64, 400).tolist():
-        n = bins.count.copy()
+    w = 64
+    bins, top = packing.SumOfSquares(w, unit, most_open=10**9), w // unit
+    for size in rng.integers(1, w, 400).tolist():
+        n, fill = bins.count.copy(), bins.fill.copy()
         costs = []
-        for h in range(0, w - size + 1):
-            if h == 0 or n[h]:
-                m = n.copy()
+        for h in range(top + 1):
+            if fill[h] + size <= w:
+                m, to = n.copy(), -(-int(fill[h] + size) // unit)
                 m[h] -= h > 0
-                m[h + size] += h + size < w
-                costs.append((int((m[1:w] ** 2).sum()), -h))
+                m[to] += to < top
+                costs.append(int((m[1:top] ** 2).sum()))
         bins.place(size, None)
-        assert int((bins.count[1:w] ** 2).sum()) == min(costs)[0]
+        assert int((bins.count[1:top] ** 2).sum()) == min(costs)
+    assert [x for x in bins.full() if x[0] == "rule"]
+
+
+def test_open_windows_are_bounded_and_nothing_is_lost():
+    rng = np.random.default_rng(4)
+    bins, sizes, out = packing.SumOfSquares(256, 4, most_open=5), rng.integers(1, 256, 700).tolist(), []
+    for i, size in enumerate(sizes):
+        bins.place(size, (i, 0, b"abcd" * size, size))
+        assert bins.n_open <= 5
+        out += bins.full()
+    out += bins.drain()
+    assert {why for why, *_ in out} >= {"rule", "bound"}
+    for _, pieces, size in out:
+        n = sum(length for _, length in pieces)
+        assert n <= size and size - n < 4 and (size == 256 or n == size == 1 << (n.bit_length() - 1))
+    starts = sorted((p[0], p[1], length) for _, pieces, _ in out for p, length in pieces)
+    at = {}
+    for doc, start, length in starts:
+        assert at.get(doc, 0) == start
+        at[doc] = start + length
+    assert at == dict(enumerate(sizes))
+
+
+SPACES = [" ", "\u0085", "\u00a0", "\u1680", *map(chr, range(0x2000, 0x2010)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000", "\ufeff", "\x1c", "\t", "\n"]
+
+
+def test_odd_white_space_with_a_fresh_and_a_warm_cache():
+    tok, rng = Tokenizer.from_file(PATH), np.random.default_rng(6)
+    texts = ["".join(rng.choice(["a", "b", "the", "é", ".", "7", *SPACES], rng.integers(1, 12))) for _ in range(3000)]
+    warm = packing.WordTokenizer(PATH)
+    for _ in range(2):
+        for t, ids in zip(texts, warm.encode(texts)):
+            assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, ascii(t)
+    one = packing.WordTokenizer(PATH)
+    for t in texts[:300]:
+        assert np.frombuffer(one.encode([t])[0], "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, ascii(t)
+
+
+def test_generations_of_known_words(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_BYTES", 2000)
+    tok, mine = Tokenizer.from_file(PATH), packing.WordTokenizer(PATH)
+    for k in range(40):
+        text = f"again word{k} and {'x' * 300} é\u00a0{k}"
+        assert np.frombuffer(mine.encode([text])[0], "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+    assert len(mine.known) + len(mine.older) < 60 and not [w for w in mine.known if len(w) > packing.KEPT_CHARS]
+
+
+def test_padding_does_not_grow_with_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(64)
+    out = packing.pack(docs, PATH).groupBy("sequence_id", "padded_to").agg({"length": "sum"}).collect()
+    assert sum(r["padded_to"] for r in out) - sum(r["sum(length)"] for r in out) < packing.UNIT * len(out)
+    assert all(r["padded_to"] in (2048, r["sum(length)"]) for r in out)
