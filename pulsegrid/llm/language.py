@@ -4,8 +4,12 @@ Each language's labelled text becomes a suffix automaton, whose paths from the r
 of that text.  A document is parsed, from left to right, into phrases: each the longest match in the automaton,
 read by walking until no transition is left and starting anew there.  The fewer phrases per byte, the closer the
 text; the language needing the fewest wins.  Text is folded to lower-case bytes with everything but letters as
-one kind of gap.  Phrases end at fixed 512-byte blocks of a document, so that many blocks walk in step as one
-numpy array over all languages at once.
+one kind of gap.
+
+A walk is sequential, so many are made in step, as numpy arrays over all languages.  A text is cut into lanes that are
+parsed at once, each as if a phrase began with it.  Then the phrase that is open at a lane's end is followed into the
+next lane until a phrase begins where one begins there already: from that place on both parses are the same.  Where
+they do not meet before the lane ends, the next lane is mended in turn, so the counts are those of the whole text.
 """
 
 from __future__ import annotations
@@ -20,8 +24,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec
+from .tables import small_batches
 
 GAP = 32
+STATE_BYTES = 2 * 64 * 4  # of the table by character learned: at most two states, about 64 kinds of bytes of four bytes each
 
 
 def _fold_table() -> np.ndarray:
@@ -41,7 +47,8 @@ FOLD = _fold_table()
 class Params:
     max_chars: int = 8_000  # labelled text per language
     sample_rows: int = 150  # labelled documents per language, about
-    block: int = 512
+    table_bytes: int = 64 << 20  # of the model; where many languages would pass it, each learns from less text
+    lane: int = 512
 
 
 def suffix_automaton(text: bytes) -> list[dict[int, int]]:
@@ -89,10 +96,10 @@ class Model:
     step: np.ndarray
     root: np.ndarray
     kind: np.ndarray
-    block: int
+    lane: int
 
     @staticmethod
-    def build(texts: dict[str, bytes], block: int = 512) -> Model:
+    def build(texts: dict[str, bytes], lane: int = 512) -> Model:
         langs = sorted(texts)
         seen = sorted({*b"".join(texts.values())})
         kind = np.zeros(256, dtype=np.uint8)  # 0: a byte that no language has
@@ -109,7 +116,7 @@ class Model:
             tables.append(table)
         tables.append(np.full((1, len(seen) + 1), -1, dtype=np.int32))  # the sink: no phrase is under way
         step = np.concatenate(tables)
-        return Model(langs, step, np.array(root, dtype=np.int32), kind, block)
+        return Model(langs, step, np.array(root, dtype=np.int32), kind, lane)
 
     def phrases(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(phrases by language and row, folded bytes by row)."""
@@ -123,26 +130,65 @@ class Model:
         offs = at[offs]
         codes = self.kind[raw[keep]]
         size = np.diff(offs)
-        count = -(-size // self.block)
+        count = -(-size // self.lane)
         row = np.repeat(np.arange(n), count)
-        lane = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        begin = offs[row] + lane * self.block
-        length = np.minimum(self.block, offs[row + 1] - begin)
-        order = np.argsort(-length, kind="stable")
-        row, begin, length = row[order], begin[order], length[order]
+        begin = offs[row] + (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)) * self.lane
+        length = np.minimum(self.lane, offs[row + 1] - begin)
         sink = len(self.step) - 1
-        state = np.full((k, len(row)), sink, dtype=np.int32)
-        found = np.zeros((k, len(row)), dtype=np.int32)
         flat, width = self.step.ravel(), self.step.shape[1]
         first = np.where(self.step[self.root] >= 0, self.step[self.root], sink)
-        live = np.searchsorted(-length, -np.arange(self.block), "left")  # lanes longer than t
-        for t in range(int(length[0]) if len(length) else 0):
+
+        # every lane as if a phrase began with it
+        order = np.argsort(-length, kind="stable")
+        longest = length[order]
+        state = np.full((k, len(row)), sink, dtype=np.int32)
+        starts = np.zeros((k, len(codes)), dtype=bool)  # where phrases begin
+        live = np.searchsorted(-longest, -np.arange(self.lane), "left")  # lanes longer than t
+        for t in range(int(longest[0]) if len(longest) else 0):
             m = live[t]
-            c = codes[begin[:m] + t]
+            at = begin[order[:m]] + t
+            c = codes[at]
             to = flat[state[:, :m] * width + c]
             dead = to < 0
-            found[:, :m] += dead
+            starts[:, at] = dead
             state[:, :m] = np.where(dead, first[:, c], to)
+        alone = np.empty_like(state)  # the state at a lane's end
+        alone[:, order] = state
+        before = np.zeros((k, len(codes) + 1), dtype=np.int32)
+        np.cumsum(starts, axis=1, out=before[:, 1:])
+        found = before[:, begin + length] - before[:, begin]
+
+        # what is open at a lane's end goes on into the next one
+        end = alone.copy()
+        follows = np.zeros(len(row) + 1, dtype=bool)
+        follows[1:-1] = row[1:] == row[:-1]
+        lang, lane = np.nonzero(np.broadcast_to(follows[:-1], (k, len(row))))
+        while len(lane):
+            s, new, t = end[lang, lane - 1], np.zeros(len(lane), np.int32), 0
+            changed_lang, changed = [], []
+            while len(lane):
+                over = length[lane] <= t
+                at = begin[lane] + t
+                at[over] = 0
+                c = codes[at]
+                to = flat[s * width + c]
+                dead = to < 0
+                met = dead & starts[lang, at] & ~over
+                gone = over | met
+                if gone.any():
+                    j, i = lang[gone], lane[gone]
+                    stop = np.where(met[gone], alone[j, i], s[gone])
+                    found[j, i] = new[gone] + np.where(met[gone], before[j, begin[i] + length[i]] - before[j, at[gone]], 0)
+                    other = (stop != end[j, i]) & follows[i + 1]
+                    end[j, i] = stop
+                    changed_lang.append(j[other])
+                    changed.append(i[other] + 1)
+                    stay = ~gone
+                    lang, lane, s, new, c, to, dead = (x[stay] for x in (lang, lane, s, new, c, to, dead))
+                new += dead
+                s = np.where(dead, first[lang, c], to)
+                t += 1
+            lang, lane = np.concatenate(changed_lang), np.concatenate(changed)
         out = np.zeros((k, n))
         for j in range(k):
             out[j] = np.bincount(row, weights=found[j], minlength=n)
@@ -150,7 +196,7 @@ class Model:
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         langs, score = [], np.zeros(len(texts))
-        for lo, hi, buf, offs in textvec.blocks(texts):
+        for lo, hi, buf, offs in textvec.blocks(texts, 1 << 19):
             lettered = np.diff(np.concatenate([[0], np.cumsum(FOLD[buf] != GAP)])[offs]) > 0
             ascii_letters = np.diff(np.concatenate([[0], np.cumsum((FOLD[buf] != GAP) & (buf < 128))])[offs]) > 0
             for i in np.flatnonzero(lettered & ~ascii_letters):
@@ -189,24 +235,28 @@ def fit(docs: DataFrame, eligible: Column, params: Params = Params(), id_col: st
     The documents of least hash are taken, each once; a language's share of them is set from its count, and its first
     document is always among them, so no language is gathered as a group and none that has a text with a letter is left out.
     A document teaches by a stretch that starts at a letter, in one longer than ``max_chars`` at a place chosen by hash.
-    Rows with null language or text, those where ``eligible`` fails and texts without a letter teach nothing.
+    Where 16 such stretches would fill the room for a language, all of its stretches are shortened alike, so the driver gets
+    at most about 16 times ``max_chars`` of it.  Rows with null language or text, those where ``eligible`` fails and texts without a letter teach nothing.
     """
     pool = docs.where(eligible & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     pool = pool.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.lit(29), F.col(id_col), F.col(text_col)), F.lit(1 << 30)).alias("pick"))
     counts = {r["lang"]: r for r in pool.groupBy("lang").agg(F.approx_count_distinct("pick").alias("n"), F.min("pick").alias("first")).collect()}
     if not counts:
-        return Model.build({}, params.block)
+        return Model.build({}, params.lane)
+    chars = max(64, min(params.max_chars, params.table_bytes // (len(counts) * STATE_BYTES)))
+    take = {lang: min(chars, -(-16 * chars // min(params.sample_rows, max(1, r["n"])))) for lang, r in counts.items()}
+    room = F.create_map(*[F.lit(x) for pair in sorted(take.items()) for x in pair])[F.col("lang")]
     limits = F.create_map(*[x for lang, r in sorted(counts.items()) for x in (F.lit(lang), F.lit(max(r["first"], int((1 << 30) * min(1.0, params.sample_rows / max(1, r["n"]))))))])
-    start = F.pmod(F.xxhash64(F.lit(31), F.col("pick")), F.greatest(F.length("text") - params.max_chars + 1, F.lit(1))) + 1
+    start = F.pmod(F.xxhash64(F.lit(31), F.col("pick")), F.greatest(F.length("text") - room + 1, F.lit(1))) + 1
     at_letter = lambda x: F.regexp_replace(x, r"^\P{L}+", "")
-    stretch = at_letter(F.substring("text", start.cast("int"), F.lit(params.max_chars)))
-    stretch = F.when(stretch != "", stretch).otherwise(F.substring(at_letter(F.col("text")), 1, params.max_chars))
+    stretch = at_letter(F.substring("text", start.cast("int"), room))
+    stretch = F.when(stretch != "", stretch).otherwise(F.substring(at_letter(F.col("text")), F.lit(1), room))
     rows = pool.where(F.col("pick") <= limits[F.col("lang")]).select("lang", "pick", stretch.alias("text"))
     rows = rows.groupBy("lang", "pick").agg(F.min("text").alias("text")).collect()
     texts: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: r["pick"]):
         texts.setdefault(r["lang"], []).append(r["text"])
-    return Model.build({lang: bytes([GAP]).join(folded(x) for x in fill(parts, params.max_chars)) for lang, parts in texts.items()}, params.block)
+    return Model.build({lang: bytes([GAP]).join(folded(x) for x in fill(parts, chars)) for lang, parts in texts.items()}, params.lane)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,6 +265,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     Null texts and texts without a letter are ``und`` with score 0; ids may be null or repeated; an empty table
     gives no rows; other columns are ignored.  One scan, no shuffle.
     """
+    small_batches(docs.sparkSession)
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,17 +8,15 @@ from pulsegrid.llm.tables import fold
 WORDS = {"aa": ["the", "ship", "was", "cold"], "bb": ["das", "schöne", "wüste"], "cc": ["où", "être", "vélo"]}
 
 
-def greedy(text: bytes, learned: bytes, block: int) -> int:
-    """Phrases of each block by plain substring search."""
-    n = 0
-    for b in range(0, len(text), block):
-        part, at = text[b : b + block], 0
-        while at < len(part):
-            end = at + 1
-            while end < len(part) and part[at : end + 1] in learned:
-                end += 1
-            n += 1
-            at = end
+def greedy(text: bytes, learned: bytes) -> int:
+    """Phrases by plain substring search."""
+    n = at = 0
+    while at < len(text):
+        end = at + 1
+        while end < len(text) and text[at : end + 1] in learned:
+            end += 1
+        n += 1
+        at = end
     return n
 
 
@@ -34,18 +32,30 @@ def test_automaton_accepts_exactly_the_substrings():
         assert (state >= 0) == (probe in subs)
 
 
-def test_phrases_equal_brute_force():
+@pytest.mark.parametrize("lane", [1, 7, 32, 512])
+def test_phrases_equal_brute_force(lane):
     rng = np.random.default_rng(1)
     texts = {k: language.folded(" ".join(rng.choice(w, 40))) for k, w in WORDS.items()}
-    model = language.Model.build(texts, block=32)
-    docs = ["the ship", "", "x", "Où être, THE schöne 12 wüste! " * 9, "é"]
+    texts["zz"] = b"a" * 300  # a parse that starts elsewhere never meets
+    model = language.Model.build(texts, lane=lane)
+    every = sum(WORDS.values(), [])
+    docs = ["the ship", "", "x", "Où être, THE schöne 12 wüste! " * 9, "é", "a" * 2000, "ba" + "a" * 700 + "b" * 40 + "a" * 900]
+    docs += [" ".join(rng.choice(every, rng.integers(0, 300))) for _ in range(30)] + ["".join(rng.choice(list("abéx the"), 900))]
     raw = [d.encode() for d in docs]
     offs = np.cumsum([0, *map(len, raw)])
     got, size = model.phrases(np.frombuffer(b"".join(raw), np.uint8), offs)
     for i, d in enumerate(docs):
         f = language.folded(d)
         assert size[i] == len(f)
-        assert [greedy(f, texts[k], 32) for k in sorted(texts)] == got[:, i].tolist()
+        assert [greedy(f, texts[k]) for k in sorted(texts)] == got[:, i].tolist()
+
+
+def test_model_stays_within_its_bound(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join("".join(rng.choice(list("abcdefghij"), 5)) for _ in range(300)), f"l{i % 9}") for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs, docs.doc_id >= 0, language.Params(table_bytes=1 << 20))
+    assert len(model.langs) == 9 and model.step.nbytes <= 1 << 20
 
 
 @pytest.fixture(scope="module")
@@ -91,7 +101,7 @@ def test_stretches_fill_the_room():
 
 
 def test_order_of_rows_does_not_matter():
-    model = language.Model.build({"aa": b"the ship", "bb": b"das"}, block=4)
+    model = language.Model.build({"aa": b"the ship", "bb": b"das"}, lane=4)
     texts = ["the ship das", "das", ""]
     a, b = model.predict(pa.array(texts)), model.predict(pa.array(texts[::-1]))
     assert a[0] == b[0][::-1]
