@@ -51,9 +51,31 @@ def test_repeated_query_rows_are_one_query(spark, query_block):
 
 def test_bound_stops_early_on_clustered_rows():
     rng = np.random.default_rng(5)
-    x = np.array([v for _, v in rows_of("clustered", 3000, rng)])
-    lists = topk.SortedLists(np.arange(3000), np.floor(64 * x))
-    assert any(lists.early(i, lists.x[i], 5)[2] for i in range(50))
+    x = np.floor(64 * np.array([v for _, v in rows_of("clustered", 3000, rng)]))
+    lists = topk.SortedLists(np.arange(3000), x)
+    stops = [lists.walk(i, x[i], 5) for i in range(50)]
+    assert all(why == "bound" and depth < 1500 for *_, why, depth in stops)
+    for i, (at, score, *_) in enumerate(stops):
+        every = np.delete(x @ x[i], i)
+        assert np.sort(score)[::-1][:5].tolist() == np.sort(every)[::-1][:5].tolist()
+        at, score, why, depth = lists.walk(i, x[i], 5, float(every.max()) + 1)  # k better rows are known: the walk ends sooner
+        assert not len(at) and depth <= stops[i][3]
+
+
+def test_walk_ends_when_no_row_is_unseen():
+    x = np.random.default_rng(9).integers(-30, 31, (2000, 40)).astype(float)
+    lists = topk.SortedLists(np.arange(2000), x)
+    at, score, why, depth = lists.walk(0, x[0], 20)
+    assert why in ("seen", "bound") and depth < 2000
+    assert np.sort(score)[::-1][:20].tolist() == np.sort((x @ x[0])[1:])[::-1][:20].tolist()
+
+
+def test_large_numbers_are_exact(spark):
+    rows = [(i, [2**25 + i, -(2**20) * i, 7]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = topk.search(df, F.col("vec_id") == 20, k=3).collect()
+    want = sorted((-sum(a * b for a, b in zip(rows[20][1], v)), i) for i, v in rows if i != 20)[:3]
+    assert [(-r["score"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"])] == want
 
 
 def test_empty_table(spark):
