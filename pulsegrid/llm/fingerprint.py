@@ -1,11 +1,14 @@
 """Document fingerprints as invertible Bloom lookup sketches of paragraph digests.
 
-A text is cut into paragraph pieces: at line ends, at sentence ends and bars, and after six words.  Each piece's
-64-bit digest, with its occurrence number mixed in, goes to three cells that hold a count, a sum of digests
-and a sum of checks.  Two sketches of one size subtract cell by cell; what both texts share cancels, and cells that
-hold one digest are peeled until nothing is left: the digests of either text alone are then known.  If peeling
-stops early, both sketches are built again four times as large.  With d differing digests of n and m, the
-likeness is their Jaccard index (n + m - d) / (n + m + d).
+A text is cut into paragraph pieces: at line ends, at sentence ends and bars, and after eight words.  Each piece's
+digest, with its occurrence number mixed in, goes to three cells that hold a count and a sum of digests; sixteen bits of
+a digest check the others.  Two sketches of one size subtract cell by cell; what both texts share cancels, and cells that
+hold one digest are peeled until nothing is left: the digests of either text alone are then known.
+
+The size follows the number of pieces, and is raised until the sketch can be peeled by itself.  So a fingerprint alone
+gives back its digests, and any two can be compared from their strings (``likeness``): those of one size are subtracted and
+peeled; if that fails or the sizes differ, both are peeled, built again as one larger size and subtracted, larger again after a
+failure.  With d differing digests of n and m, the likeness is their Jaccard index (n + m - d) / (n + m + d).
 """
 
 from __future__ import annotations
@@ -22,9 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec
+from .tables import small_batches
 
-CELLS = 18  # of the fingerprint; a multiple of three
-PIECE_WORDS = 6
+SIZES = np.array([3, 6, 9, *(3 * x << k for k in range(40) for x in (4, 5, 6, 7))])  # cells
+VALUE = np.uint64((1 << 48) - 1)  # the bits of a digest that its upper ones check
+PIECE_WORDS = 8
 BLOCK_CHARS = 1 << 20
 ENDS = np.zeros(256, dtype=bool)
 ENDS[list(b".!?|;:")] = True
@@ -57,113 +62,157 @@ def pieces(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         first = np.ones(len(d), dtype=bool)
         first[1:] = (d[1:] != d[:-1]) | (r[1:] != r[:-1])
         again = (k - np.maximum.accumulate(np.where(first, k, 0))).astype(np.uint64)
-        found.append(textvec.mix(d + again * np.uint64(0xD6E8FEB86659FD93), 12))
-        found_rows.append(r + lo)
+        value = textvec.mix(d + again * np.uint64(0xD6E8FEB86659FD93), 12) & VALUE
+        order = np.lexsort((value, r))
+        value, r = value[order], r[order]
+        one = np.ones(len(r), dtype=bool)
+        one[1:] = (value[1:] != value[:-1]) | (r[1:] != r[:-1])
+        found.append(checked(value[one]))
+        found_rows.append(r[one] + lo)
     rows = np.concatenate(found_rows)
     return np.concatenate(found), np.searchsorted(rows, np.arange(len(texts) + 1))
 
 
-def check(key: np.ndarray) -> np.ndarray:
-    return textvec.mix(key, 13) >> np.uint64(32)
+def checked(value: np.ndarray) -> np.ndarray:
+    """48 bits with 16 that check them above."""
+    return value | (textvec.mix(value, 13) & ~VALUE)
 
 
-def cells_of(key: np.ndarray, m: int) -> np.ndarray:
-    """The three cells, one in each third of m."""
-    third = np.uint64(m // 3)
+def cells_of(key: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The three cells, one in each third of the size."""
+    third = (size // 3).astype(np.uint64)
     return np.stack([((textvec.mix(key, 14 + j) >> np.uint64(32)) * third >> np.uint64(32)) + np.uint64(j) * third for j in range(3)]).astype(np.int64)
 
 
+def enough(digests: np.ndarray) -> np.ndarray:
+    """The least size that is likely to be peeled of so many digests."""
+    return SIZES[np.searchsorted(SIZES, 1.3 * digests + 2)]
+
+
+def spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0] .. start[0] + size[0] - 1, start[1] .. and so on."""
+    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
 class Sketches:
-    """Sketches of one size, cell by cell: count, sum of digests, sum of checks, modulo 2**64."""
+    """Sketches of the given sizes, cell by cell: count and sum of digests modulo 2**64."""
 
-    def __init__(self, n: int, m: int):
-        self.m, self.count, self.key, self.check = m, np.zeros(n * m, np.int64), np.zeros(n * m, np.uint64), np.zeros(n * m, np.uint64)
+    def __init__(self, size: np.ndarray):
+        self.size = size.astype(np.int64)
+        self.base = np.cumsum(self.size) - self.size
+        self.count, self.key = np.zeros(self.size.sum(), np.int64), np.zeros(self.size.sum(), np.uint64)
 
     def add(self, which: np.ndarray, key: np.ndarray, sign: np.ndarray) -> np.ndarray:
         """Add (or with sign -1 take away) digests to sketches; the cells touched."""
-        at = (cells_of(key, self.m) + which * self.m).ravel()
+        at = (cells_of(key, self.size[which]) + self.base[which]).ravel()
         wide = sign.astype(np.int64)
-        factor = wide.view(np.uint64)
         np.add.at(self.count, at, np.tile(wide, 3))
-        np.add.at(self.key, at, np.tile(key * factor, 3))
-        np.add.at(self.check, at, np.tile(check(key) * factor, 3))
+        np.add.at(self.key, at, np.tile(key * wide.view(np.uint64), 3))
         return at
 
     def text(self, i: int) -> str:
-        part = slice(i * self.m, (i + 1) * self.m)
-        raw = self.count[part].astype("<i4").tobytes() + self.key[part].astype("<u8").tobytes() + self.check[part].astype("<u8").tobytes()
-        return base64.b64encode(raw).decode()
+        part = slice(self.base[i], self.base[i] + self.size[i])
+        return base64.b64encode(self.count[part].astype("<i2").tobytes() + self.key[part].astype("<u8").tobytes()).decode()
+
+    @staticmethod
+    def read(text: str) -> Sketches:
+        raw = base64.b64decode(text)
+        out = Sketches(np.array([len(raw) // 10]))
+        out.count, out.key = np.frombuffer(raw, "<i2", len(raw) // 10).astype(np.int64), np.frombuffer(raw, "<u8", offset=len(raw) // 5).copy()
+        return out
 
     def minus(self, a: np.ndarray, b: np.ndarray) -> Sketches:
-        out = Sketches(0, self.m)
-        for name in ("count", "key", "check"):
-            x = getattr(self, name).reshape(-1, self.m)
-            setattr(out, name, (x[a] - x[b]).ravel())
+        """Sketches a[i] less b[i], which are of one size."""
+        out = Sketches(self.size[a])
+        x, y = spans(self.base[a], out.size), spans(self.base[b], out.size)
+        out.count, out.key = self.count[x] - self.count[y], self.key[x] - self.key[y]
         return out
 
     def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(which sketch, digest, sign) recovered, and by sketch whether nothing is left."""
+        """(which sketch, digest, sign) recovered, and by sketch whether nothing is left; empties the sketches."""
+        owner = np.repeat(np.arange(len(self.size)), self.size)
         got: list[tuple] = []
         at = np.flatnonzero(np.abs(self.count) == 1)
-        for _ in range(64 + 4 * self.m):
+        for _ in range(64 + 4 * int(self.size.max(initial=0))):
             at = at[np.abs(self.count[at]) == 1]
-            sign = self.count[at]
+            sign, which = self.count[at], owner[at]
             key = self.key[at] * sign.view(np.uint64)
-            pure = check(key) == self.check[at] * sign.view(np.uint64)
-            pure &= (cells_of(key, self.m) == at % self.m).any(axis=0)
-            at, key, sign = at[pure], key[pure], sign[pure]
-            if not len(at):
+            pure = checked(key & VALUE) == key
+            pure &= (cells_of(key, self.size[which]) == at - self.base[which]).any(axis=0)
+            key, sign, which = key[pure], sign[pure], which[pure]
+            if not len(key):
                 break
-            which = at // self.m
             order = np.lexsort((key, which))
             which, key, sign = which[order], key[order], sign[order]
             one = np.ones(len(key), dtype=bool)
             one[1:] = (key[1:] != key[:-1]) | (which[1:] != which[:-1])
             which, key, sign = which[one], key[one], sign[one]
             got.append((which, key, sign))
-            at = np.unique(self.add(which, key, -sign))
-        left = (self.count != 0) | (self.key != 0) | (self.check != 0)
-        clean = ~left.reshape(-1, self.m).any(axis=1)
-        parts = [np.concatenate(x) if got else np.zeros(0, np.int64) for x in (zip(*got) if got else ([], [], []))]
+            at = self.add(which, key, -sign)  # a cell may come twice; its digest is then taken once
+        clean = np.bincount(owner[(self.count != 0) | (self.key != 0)], minlength=len(self.size)) == 0
+        parts = [np.concatenate(x) for x in zip(*got)] if got else [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)]
         return (*parts, clean)
 
 
-def sketch(digests: np.ndarray, offs: np.ndarray, which: np.ndarray, m: int) -> Sketches:
-    """Sketches of size m of the sets ``which``."""
-    size = np.diff(offs)[which]
-    owner = np.repeat(np.arange(len(which)), size)
-    at = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(offs[which], size)
-    out = Sketches(len(which), m)
-    out.add(owner, digests[at], np.ones(len(owner), np.int64))
+def sketch(digests: np.ndarray, offs: np.ndarray, which: np.ndarray, size: np.ndarray) -> Sketches:
+    """Sketches of the sets ``which``, of the given sizes."""
+    many = np.diff(offs)[which]
+    out = Sketches(size)
+    out.add(np.repeat(np.arange(len(which)), many), digests[spans(offs[which], many)], np.ones(many.sum(), np.int64))
     return out
 
 
+def prints(digests: np.ndarray, offs: np.ndarray) -> Sketches:
+    """The fingerprint of every set: the smallest size from which it can be peeled alone, from ``enough`` on."""
+    size = enough(np.diff(offs))
+    todo = np.arange(len(size))
+    while len(todo):
+        todo = todo[~sketch(digests, offs, todo, size[todo]).peel()[3]]
+        size[todo] = SIZES[np.searchsorted(SIZES, size[todo]) + 1]
+    return sketch(digests, offs, np.arange(len(size)), size)
+
+
 def differences(digests: np.ndarray, offs: np.ndarray, a: np.ndarray, b: np.ndarray, base: Sketches) -> np.ndarray:
     """Size of the symmetric difference of sets a[i] and b[i], by subtracting and peeling, larger after a failure."""
     out = np.full(len(a), -1, dtype=np.int64)
-    todo, m = np.arange(len(a)), base.m
-    size = np.diff(offs)
-    while len(todo):
-        if m == base.m:
-            gap = base.minus(a[todo], b[todo])
-        else:
-            possible = np.abs(size[a[todo]] - size[b[todo]]) <= m  # else some cell surely stays mixed
-            wait, todo = todo[~possible], todo[possible]
-            n = len(todo)
-            gap = sketch(digests, offs, np.concatenate([a[todo], b[todo]]), m).minus(np.arange(n), np.arange(n) + n)
+    many = np.diff(offs)
+
+    def settle(todo: np.ndarray, gap: Sketches) -> None:
         which, _, _, clean = gap.peel()
-        found = np.bincount(which, minlength=len(todo)) if len(which) else np.zeros(len(todo), np.int64)
-        out[todo[clean]] = found[clean]
-        rest = todo[~clean]
-        todo = rest if m == base.m else np.concatenate([wait, rest])
-        m *= 4
-        huge = m > 256 * (size[a[todo]] + size[b[todo]] + 1)
-        for i in todo[huge]:  # digests that agree in all cells at every size; compared as they are
-            out[i] = len(np.setxor1d(digests[offs[a[i]] : offs[a[i] + 1]], digests[offs[b[i]] : offs[b[i] + 1]]))
-        todo = todo[~huge]
+        out[todo[clean]] = np.bincount(which, minlength=len(todo))[clean]
+
+    same = np.flatnonzero((base.size[a] == base.size[b]) & (np.abs(many[a] - many[b]) <= base.size[a]))
+    settle(same, base.minus(a[same], b[same]))
+    todo = np.flatnonzero(out < 0)
+    size = enough(many[a] + many[b])
+    while len(todo):
+        n = len(todo)
+        settle(todo, sketch(digests, offs, np.concatenate([a[todo], b[todo]]), np.tile(size[todo], 2)).minus(np.arange(n), np.arange(n) + n))
+        todo = todo[out[todo] < 0]
+        size[todo] = SIZES[np.searchsorted(SIZES, size[todo]) + 1]
     return out
 
 
+def jaccard(n: np.ndarray, m: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Of sets of n and m with d differing; two empty sets are alike 1."""
+    return np.where(n + m > 0, (n + m - d) / np.maximum(n + m + d, 1), 1.0)
+
+
+def digests_of(fingerprint: str) -> np.ndarray:
+    """The paragraph digests that a fingerprint holds."""
+    return Sketches.read(fingerprint).peel()[1]
+
+
+def likeness(one: str, other: str) -> float:
+    """Of two fingerprints, from their strings alone."""
+    a, b = Sketches.read(one), Sketches.read(other)
+    x, y = digests_of(one), digests_of(other)
+    base = Sketches(np.concatenate([a.size, b.size]))
+    base.count, base.key = np.concatenate([a.count, b.count]), np.concatenate([a.key, b.key])
+    d = differences(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]), np.array([0]), np.array([1]), base)
+    return float(jaccard(np.array(len(x)), np.array(len(y)), d)[0])
+
+
 def edit(text: str, following: str) -> str:
     """The last third (rounded down) replaced by as many characters, or all, from the start of the next text."""
     k = len(text) // 3
@@ -175,12 +224,11 @@ def compare(texts: list[str]) -> list[tuple]:
     n = len(texts) - 1
     edited = [edit(t, f) for t, f in zip(texts, texts[1:])]
     digests, offs = pieces(texts + edited)
-    base = sketch(digests, offs, np.arange(2 * n + 1), CELLS)
+    base = prints(digests, offs)
     i = np.arange(n)
     a, b = np.concatenate([i, i]), np.concatenate([i + n + 1, i + 1])
     d = differences(digests, offs, a, b, base)
-    total = (np.diff(offs)[a] + np.diff(offs)[b]).astype(float)
-    like = np.where(total > 0, (total - d) / np.maximum(total + d, 1), 1.0)
+    like = jaccard(np.diff(offs)[a], np.diff(offs)[b], d)
     return [(len(texts[j]), hashlib.sha256(edited[j].encode()).hexdigest(), base.text(j), base.text(n + 1 + j), float(like[j]), float(like[n + j])) for j in range(n)]
 
 
@@ -222,6 +270,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     copy of the row that follows it, so every text is shuffled once and a task never needs another's rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = parts * buckets_per_part
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("_k"))

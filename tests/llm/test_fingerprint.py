@@ -17,7 +17,7 @@ def test_peeling_recovers_exactly_the_differing_digests():
     digests, offs = fp.pieces(texts)
     sets = [set(digests[offs[i] : offs[i + 1]].tolist()) for i in range(4)]
     assert len(sets[2]) == 4  # repeats keep their number
-    both = fp.sketch(digests, offs, np.arange(4), 288)
+    both = fp.sketch(digests, offs, np.arange(4), np.full(4, 288))
     which, key, sign, clean = both.minus(np.array([0, 2, 1]), np.array([1, 3, 0])).peel()
     assert clean.all()
     for w, (a, b) in enumerate(((0, 1), (2, 3), (1, 0))):
@@ -25,6 +25,20 @@ def test_peeling_recovers_exactly_the_differing_digests():
         assert got == {(k, 1) for k in sets[a] - sets[b]} | {(k, -1) for k in sets[b] - sets[a]}
 
 
+def test_fingerprints_compare_by_themselves():
+    texts = [*texts_of(40), "", "one", "same. same. same. other"]
+    texts += [fp.edit(t, f) for t, f in zip(texts, texts[1:])]
+    digests, offs = fp.pieces(texts)
+    base, sets = fp.prints(digests, offs), [set(digests[i:j].tolist()) for i, j in zip(offs, offs[1:])]
+    every = [base.text(i) for i in range(len(texts))]
+    assert all(set(fp.digests_of(e).tolist()) == s for e, s in zip(every, sets))
+    rng = np.random.default_rng(2)
+    pairs = [(i, i + 43) for i in range(42)] + [tuple(rng.integers(0, len(texts), 2)) for _ in range(200)]
+    for i, j in pairs:
+        both = sets[i] | sets[j]
+        assert fp.likeness(every[i], every[j]) == (len(sets[i] & sets[j]) / len(both) if both else 1.0)
+
+
 def brute(rows):
     rows = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(1 << 63)), r[1] is not None, r[1] or ""))
     texts = [r[1] or "" for r in rows]
@@ -54,5 +68,10 @@ def test_equals_brute_force_over_ranges(spark, case):
     prints = {}
     for r in out:
         assert prints.setdefault((r["doc_id"], r["n_chars"]), r["fingerprint"]) == r["fingerprint"] or r["doc_id"] is None
+    for r in out:
+        assert fp.likeness(r["fingerprint"], r["edited_fingerprint"]) == r["near_edited"]
+    following = sorted(out, key=lambda r: -(r["doc_id"] or 0))
     if case == "many":
+        for r, f in zip(following, [*following[1:], following[0]]):
+            assert fp.likeness(r["fingerprint"], f["fingerprint"]) == r["near_next"]
         assert len({r["fingerprint"] for r in out}) == len({t for _, t in rows})
