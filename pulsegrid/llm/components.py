@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
+from .tables import join_keyed
 
 
-def components(links: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, label): the least id of the component of every id in ``links`` (a long, b long).
 
     Alternating large-star and small-star steps (Kiveris et al., 2014): neighbours above an id are linked to
     the least id around it, then those below.  Each round is written; it ends when a round changes nothing.
-    The neighbourhood minimum is an aggregate, so a hub is combined before it is shuffled.
+    The neighbourhood minimum is an aggregate, so a hub is combined before it is shuffled, and its links are joined by broadcast.
     """
     ordered = lambda d: d.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     now = scratch.save(ordered(links), "links")
@@ -21,10 +22,10 @@ def components(links: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
     n = now.count()  # no round makes more links
     if not n:
         return now.select(F.col("a").alias("id"), F.col("b").alias("label"))
-    for _ in range(most_rounds):
+    while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b")
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = join_keyed(both.where("b > a"), least, ["a"], 2 * n).select(F.col("m").alias("a"), "b")
         large = scratch.save(ordered(large), "large", n)
         # small star: among an id and its smaller neighbours, all to the least
         down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
@@ -37,6 +38,4 @@ def components(links: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
         if found == state:
             break
         state = found
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("b").alias("id"), F.col("a").alias("label")).unionByName(now.select(F.col("a").alias("id"), F.col("a").alias("label")).distinct())

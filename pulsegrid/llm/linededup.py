@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .scratch import Scratch
+from .tables import columns, join_keyed
 
 DOC = ["d", "th"]
 WHERE = [*DOC, "pos"]
@@ -96,17 +97,17 @@ def later_copies(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", t
     scratch.drop(base, *levels[1:])
 
     at = F.struct(*WHERE)
-    first = runs.groupBy("m", "a", "b").agg(F.min(at).alias("first"), F.max(at).alias("end")).where("first <> end").drop("end")
-    late = runs.join(first, ["m", "a", "b"]).where(at != F.col("first"))
+    first = runs.groupBy("m", "a", "b").agg(F.min(at).alias("first"), F.max(at).alias("end"), F.count("*").alias("n")).where("first <> end").drop("end")
+    late = join_keyed(runs, first, ["m", "a", "b"], runs.count()).where(at != F.col("first"))
     spans = late.select(*DOC, "pos", "m").distinct().select(*DOC, F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("m") - 1)).alias("at"))
     return spans.groupBy(*DOC).agg(F.array_sort(F.collect_set("at")).alias("removed"))
 
 
-def dedupe(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedupe(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, str] = ("lines_before", "lines_removed")) -> DataFrame:
     """``docs`` with the later copies of line runs of at least ``min_words`` words cut out of the text.
 
-    Earlier means smaller (id, hash of the text, line); a null id comes first.  Two columns follow: lines_before and lines_removed
-    (lines that are not blank).  A text that loses lines also loses its blank lines, and one that loses all is
+    Earlier means smaller (id, hash of the text, line); a null id comes first.  Two columns named by ``counts`` follow: the lines
+    before and those removed (lines that are not blank); they take the place of columns of docs of these names.  A text that loses lines also loses its blank lines, and one that loses all is
     empty; other texts are left as they are.  Null and empty texts have no lines; rows equal in id and text
     count as one document; a run may repeat and overlap within one text; an empty table gives no rows.
     """
@@ -115,6 +116,6 @@ def dedupe(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_co
     lines, n = lines_of(old), F.coalesce(F.size(lines_of(old)), F.lit(0))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed")), lambda i: F.element_at(lines, i + 1))
     text = F.when(F.col("removed").isNull(), old).otherwise(F.array_join(kept, "\n"))
-    out = docs.select(F.struct(*docs.columns).alias("row"), _id(id_col).alias("d"), F.xxhash64(text_col).alias("th")).join(gone, ["d", "th"], "left")
-    names = [c for c in docs.columns if c not in ("lines_before", "lines_removed")]
-    return out.select(*[(text if c == text_col else F.col("row")[c]).alias(c) for c in names], n.cast("int").alias("lines_before"), F.coalesce(F.size("removed"), F.lit(0)).alias("lines_removed"))
+    out = docs.select(F.struct(*columns(docs)).alias("row"), _id(id_col).alias("d"), F.xxhash64(text_col).alias("th")).join(gone, ["d", "th"], "left")
+    names = [c for c in docs.columns if c not in counts]
+    return out.select(*[(text if c == text_col else F.col("row")[c]).alias(c) for c in names], n.cast("int").alias(counts[0]), F.coalesce(F.size("removed"), F.lit(0)).alias(counts[1]))

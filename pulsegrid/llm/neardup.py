@@ -7,10 +7,11 @@ sets.  A shingle's arrivals come in order of time, so it is dropped once it is l
 
 1. One scan gives each text's digest, band keys and 16-bit register values.  Equal texts are one row from here.
 2. Texts that share a band key are compared by registers within the task that holds their bucket; only links that
-   join parts not yet joined there (a forest, fewer than the rows) are emitted.  Buckets beyond a size are cut
-   into blocks, and every pair of blocks is a task of its own, so no comparison is lost and none is hot.
-3. Components of these links are families.  The families' texts are read again and compared exactly, in blocks
-   likewise, and again a forest of the links at or above the similarity is emitted.
+   join parts not yet joined there (a forest, fewer than the rows) are emitted.  Large buckets are cut into blocks.  A block
+   is compared with the bucket's least text and within itself; only what is not joined to the least text by then
+   meets the other blocks.  So no link is lost, none is hot, and a row of a large group of copies is sent about once.
+3. Components of these links are families.  The families' texts are read again and compared exactly, in blocks of bounded
+   bytes likewise, and again a forest of the links at or above the similarity is emitted.
 4. Components of the exact links are the classes.
 
 Step 2 lets pairs through far below the similarity (``slack``), so a family holds every link its members have.
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +32,11 @@ from pyspark.sql import types as T
 from . import textvec
 from .components import components
 from .scratch import Scratch
+from .tables import columns, small_batches
 
 
 BROADCAST_ROWS = 500_000
+BROADCAST_SLICES = 8
 
 
 @dataclass(frozen=True)
@@ -43,6 +47,7 @@ class Params:
     rows: int = 5
     slack: float = 0.17  # registers may agree this much less than the similarity: over four standard deviations
     block: int = 512  # texts compared at once
+    block_bytes: int = 4 << 20  # and their size
 
     @property
     def registers(self) -> int:
@@ -139,17 +144,18 @@ class Forest:
         return np.array([self.root(i) for i in range(len(self.up))])
 
 
-def likely_pairs(sig: np.ndarray, cross: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Pairs, most alike first, whose registers agree in at least this share; ``cross``: side of each row, 2 = both."""
+def likely_pairs(sig: np.ndarray, which: np.ndarray, to: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Pairs of a row of ``which`` and one for which ``to`` holds, most alike first, whose registers agree in at least this share."""
     out = []
-    for i in range(len(sig) - 1):
-        same = (sig[i + 1 :] == sig[i]).mean(axis=1)
-        ok = (same >= least) & ((cross[i] == 2) | (cross[i + 1 :] != cross[i]))
-        out += [(s, i, i + 1 + int(j)) for j, s in zip(np.flatnonzero(ok), same[ok])]
+    for i in which:
+        same = (sig == sig[i]).mean(axis=1)
+        ok = (same >= least) & to
+        ok[i] = False
+        out += [(s, int(i), int(j)) for j, s in zip(np.flatnonzero(ok), same[ok])]
     return [(i, j) for _, i, j in sorted(out, key=lambda p: (-p[0], p[1], p[2]))]
 
 
-SIGNATURE = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("doc", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())])
+SIGNATURE = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("doc", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType()), T.StructField("size", T.LongType())])
 
 
 def _sign(p: Params):
@@ -163,7 +169,7 @@ def _sign(p: Params):
                 keys = textvec.mix((full.reshape(hi - lo, p.bands, p.rows).astype(np.uint64) * power).sum(axis=2, dtype=np.uint64) + np.arange(p.bands, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93), 33).view(np.int64)
                 some = np.bincount(row, minlength=hi - lo) > 0
                 small = (full & np.uint32(0xFFFF)).astype("<u2")
-                yield pa.RecordBatch.from_arrays([digests.slice(lo, hi - lo), ids.slice(lo, hi - lo), pa.array([k if s else [] for k, s in zip(keys, some)], pa.list_(pa.int64())), pa.array([s.tobytes() for s in small], pa.binary())], names=SIGNATURE.names)
+                yield pa.RecordBatch.from_arrays([digests.slice(lo, hi - lo), ids.slice(lo, hi - lo), pa.array([k if s else [] for k, s in zip(keys, some)], pa.list_(pa.int64())), pa.array([s.tobytes() for s in small], pa.binary()), pa.array(np.diff(offs))], names=SIGNATURE.names)
 
     return run
 
@@ -181,81 +187,102 @@ def in_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tup
         yield held
 
 
-LINK = "a long, b long"
+LINK = "a long, b long, rest boolean"
+BLOCK, LEAST, REST, ANY = 2, 3, 0, 1  # roles of a row
 
 
-def _links(groups: Iterator[list[tuple]], judge) -> Iterator[pa.RecordBatch]:
-    a, b = [], []
-    for group in groups:
-        for x, y in judge(group):
-            a.append(x)
-            b.append(y)
-        if len(a) > 50_000:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-            a, b = [], []
-    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+def _links(decide):
+    """From sorted rows (key, i, j, role, id, payload): links (a, b), and as (key, id) what a block leaves to compare with others.
+
+    ``decide(group, forest, which, to)`` joins rows of ``which`` and rows for which ``to`` holds, and gives the joins.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+
+        def table() -> pa.RecordBatch:
+            cols = list(zip(*out)) or [(), (), ()]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_()))], names=["a", "b", "rest"])
+
+        for group in in_groups(batches, 3):
+            group = [r for k, r in enumerate(group) if not k or r[3:5] != group[k - 1][3:5]]  # repeated rows
+            role, ids = np.array([r[3] for r in group]), [r[4] for r in group]
+            forest = Forest(len(group))
+            if role[0] == REST:  # against another block
+                decide(group, forest, np.flatnonzero(role == REST), role == ANY, out)
+            else:
+                every = np.ones(len(group), dtype=bool)
+                if len(group) > 1:
+                    decide(group, forest, np.zeros(1, np.int64), every, out)
+                apart = np.array([k for k in range(1, len(group)) if forest.root(k)], dtype=np.int64)
+                if len(apart):
+                    decide(group, forest, apart, every, out)
+                if role[0] == LEAST:
+                    out += [(group[0][0], ids[k], True) for k in apart.tolist() if forest.root(k)]
+            if len(out) > 50_000:
+                yield table()
+        yield table()
+
+    return run
 
 
 def _bucket_links(p: Params):
-    """Links of a block of one bucket, or of two: rows are (key, i, j, id, block, sig)."""
+    """Joins by registers; the payload is a signature."""
     least = p.similarity - p.slack
 
-    def judge(group: list[tuple]) -> list[tuple]:
-        if len(group) < 2:
-            return []
-        ids = [r[3] for r in group]
-        cross = np.array([r[4] if group[0][1] != group[0][2] else 2 for r in group])
+    def decide(group: list[tuple], forest: Forest, which: np.ndarray, to: np.ndarray, out: list[tuple]) -> None:
         sig = np.frombuffer(b"".join(r[5] for r in group), "<u2").reshape(len(group), -1)
-        if len(group) == 2:
-            ok = cross[0] == 2 or cross[0] != cross[1]
-            return [(ids[0], ids[1])] if ok and (sig[0] == sig[1]).mean() >= least else []
-        forest = Forest(len(group))
-        if cross[0] == 2:  # most of a bucket is like its first row
-            like = np.flatnonzero((sig[1:] == sig[0]).mean(axis=1) >= least) + 1
-            forest.up[like] = 0
-            out = [(ids[0], ids[int(j)]) for j in like]
-            if len(like) == len(group) - 1:
-                return out
-        else:
-            out = []
-        return out + [(ids[i], ids[j]) for i, j in likely_pairs(sig, cross, least) if forest.join(i, j)]
-
-    return lambda batches: _links(in_groups(batches, 3), judge)
+        out += [(group[i][4], group[j][4], False) for i, j in likely_pairs(sig, which, to, least) if group[i][4] != group[j][4] and forest.join(i, j)]
+
+    return _links(decide)
 
 
 def _exact_links(p: Params):
-    """Exact links of a block of one family, or of two: rows are (label, i, j, id, block, text)."""
-
-    def judge(group: list[tuple]) -> list[tuple]:
-        group = [r for k, r in enumerate(group) if not k or r[3] != group[k - 1][3]]  # repeated rows
-        if len(group) < 2:
-            return []
-        ids = [r[3] for r in group]
-        cross = np.array([r[4] if group[0][1] != group[0][2] else 2 for r in group])
-        sets, sigs = [], []
-        for lo, hi, buf, offs in textvec.blocks(pa.array([r[5] for r in group], pa.large_string())):
-            row, element, count = shingles(buf, offs, p.words)
-            cut = np.searchsorted(row, np.arange(1, hi - lo))
-            sets += zip(np.split(element, cut), np.split(count, cut))
-            sigs.append(signatures(row, element, count, hi - lo, p.registers))
-        forest = Forest(len(group))
-        out = []
-        for i, j in likely_pairs(np.concatenate(sigs), cross, p.similarity - p.slack):
-            if forest.root(i) != forest.root(j) and probability_jaccard(sets[i], sets[j]) >= p.similarity:
+    """Joins by exact similarity; the payload is a text."""
+    last: list = [None, None, None]  # the group whose shingles are at hand
+
+    def decide(group: list[tuple], forest: Forest, which: np.ndarray, to: np.ndarray, out: list[tuple]) -> None:
+        if last[0] is not group:
+            sets, sigs = [], []
+            for lo, hi, buf, offs in textvec.blocks(pa.array([r[5] for r in group], pa.large_string())):
+                row, element, count = shingles(buf, offs, p.words)
+                cut = np.searchsorted(row, np.arange(1, hi - lo))
+                sets += zip(np.split(element, cut), np.split(count, cut))
+                sigs.append(signatures(row, element, count, hi - lo, p.registers))
+            last[:] = group, sets, np.concatenate(sigs)
+        _, sets, sig = last
+        for i, j in likely_pairs(sig, which, to, p.similarity - p.slack):
+            if group[i][4] != group[j][4] and forest.root(i) != forest.root(j) and probability_jaccard(sets[i], sets[j]) >= p.similarity:
                 forest.join(i, j)
-                out.append((ids[i], ids[j]))
-        return out
+                out.append((group[i][4], group[j][4], False))
 
-    return lambda batches: _links(in_groups(batches, 3), judge)
+    return _links(decide)
 
 
-def block_pairs(df: DataFrame, key: str, count: str, id_col: str, block: int) -> DataFrame:
-    """Rows with (i, j, blk): a group of more than ``block`` rows is cut into blocks by hash of the id, and a row goes
-    to every pair of blocks that has its own."""
-    n = F.ceil(F.col(count) / block).cast("int")
-    own = F.pmod(F.xxhash64(F.lit(41), F.col(id_col)), n).cast("int")
-    to = F.transform(F.sequence(F.lit(0), n - 1), lambda o: F.struct(F.least(o, own).alias("i"), F.greatest(o, own).alias("j")))
-    return df.withColumn("blk", own).withColumn("to", F.explode(to)).withColumn("i", F.col("to.i")).withColumn("j", F.col("to.j"))
+def compared(members: DataFrame, payload: str, judge, p: Params, scratch: Scratch) -> DataFrame:
+    """Links (a, b) that join all that ``judge`` joins within each key of ``members`` (key, blocks, least, id, payload)."""
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = F.pmod(F.xxhash64(F.lit(41), F.col("id")), F.col("blocks")).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+
+    def judged(rows: DataFrame) -> DataFrame:
+        rows = rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", F.when(F.col("role") == LEAST, -1).otherwise(F.col("role")), "id")
+        return scratch.save(rows.select("key", "i", "j", "role", "id", payload).mapInArrow(judge, LINK), "linked")
+
+    is_least = (F.col("blocks") > 1) & (F.col("id") == F.col("least"))  # it goes to every block of its group
+    rows = members.select("key", "id", payload, F.when(is_least, LEAST).otherwise(BLOCK).alias("role"), F.explode(F.when(is_least, upto(F.col("blocks"))).otherwise(F.array(own))).alias("i"), F.lit(-1).alias("j"))
+    first = judged(rows)
+    links = first.where("not rest").select("a", "b")
+    rest = first.where("rest").select(F.col("a").alias("key"), F.col("b").alias("id")).distinct()
+    if rest.isEmpty():
+        return links
+    many = rest.groupBy("key").agg(F.ceil(F.count("*") / p.block).cast("int").alias("parts"))
+    members = members.join(many, "key")
+    part = F.pmod(F.xxhash64(F.lit(43), F.col("id")), F.col("parts")).cast("int")
+    left = members.join(rest, ["key", "id"]).select("key", "id", payload, F.lit(REST).alias("role"), part.alias("i"), F.explode(upto(F.col("blocks"))).alias("j"))
+    every = members.select("key", "id", payload, F.lit(ANY).alias("role"), F.explode(upto(F.col("parts"))).alias("i"), own.alias("j"))
+    return links.unionByName(judged(left.unionByName(every)).select("a", "b"))
 
 
 def _digest(text: str) -> Column:
@@ -268,27 +295,31 @@ def text_classes(rows: DataFrame, p: Params, scratch: Scratch) -> tuple[DataFram
     The second table is (digest, class_id, class_texts, keeps), keeps marking the digest whose ``least`` is
     the class_id, one per class.
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    small_batches(rows.sparkSession)
     hashed = rows.where("text is not null").select(_digest("text").alias("digest"), "doc", "text")
     signed = scratch.save(hashed.mapInArrow(_sign(p), SIGNATURE), "signed")
-    texts = signed.groupBy("digest").agg(F.min("doc").alias("least"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    texts = signed.groupBy("digest").agg(F.min("doc").alias("least"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("size").alias("size"))
     texts = scratch.save(texts.withColumn("id", F.monotonically_increasing_id()), "texts")
 
+    def blocks(*enough: Column) -> Column:
+        return F.greatest(F.lit(1), *(F.ceil(x).cast("int") for x in enough)).alias("blocks")
+
     keys = texts.select("id", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = keys.join(shared, "key").select("key", "n", "id").join(texts.select("id", "sig"), "id")
-    members = block_pairs(members, "key", "n", "id", p.block)
-    members = members.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
-    family = components(members.select("key", "i", "j", "id", "blk", "sig").mapInArrow(_bucket_links(p), LINK), scratch)
-
-    sizes = family.groupBy("label").agg(F.count("*").alias("n"))
-    named = family.join(sizes, "label").join(texts.select("id", "digest", "least"), "id")
-    named = scratch.save(named.select("label", "n", "id", F.col("digest").alias("_d"), F.col("least").alias("_l")), "named")
-    # a side of few rows of 50 bytes spares all other texts the exchange; beyond the bound both sides are exchanged
-    near = F.broadcast(named) if named.count() <= BROADCAST_ROWS else named
-    wanted = hashed.join(near, (F.col("digest") == F.col("_d")) & F.col("doc").eqNullSafe(F.col("_l"))).select("label", "n", "id", "text")
-    wanted = block_pairs(wanted, "label", "n", "id", p.block).repartition(parts, "label", "i", "j").sortWithinPartitions("label", "i", "j", "id")
-    joined = components(wanted.select("label", "i", "j", "id", "blk", "text").mapInArrow(_exact_links(p), LINK), scratch)
+    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1").select("key", "least", blocks(F.col("n") / p.block))
+    members = keys.join(shared, "key").join(texts.select("id", "sig"), "id").select("key", "blocks", "least", "id", "sig")
+    family = components(compared(members, "sig", _bucket_links(p), p, scratch), scratch)
+
+    # the label is the family's least id
+    placed = family.join(texts.select("id", "digest", F.col("least").alias("_l"), "size"), "id")
+    sizes = placed.groupBy("label").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).select("label", blocks(F.col("n") / p.block, F.col("bytes") / p.block_bytes))
+    named = placed.join(sizes, "label").select(F.col("label").alias("key"), "blocks", F.col("label").alias("least"), "id", F.col("digest").alias("_d"), "_l")
+    named = scratch.save(named, "named")
+    # slices of few rows of 60 bytes, each broadcast to a scan, spare all other texts the exchange; beyond, both sides are exchanged
+    slices = -(-named.count() // BROADCAST_ROWS)
+    slice_of = F.pmod(F.xxhash64(F.lit(47), "_d"), F.lit(max(1, slices)))
+    near = [F.broadcast(named.where(slice_of == k)) for k in range(slices)] if 0 < slices <= BROADCAST_SLICES else [named]
+    wanted = [hashed.join(x, (F.col("digest") == F.col("_d")) & F.col("doc").eqNullSafe(F.col("_l"))).select("key", "blocks", "least", "id", "text") for x in near]
+    joined = components(compared(reduce(DataFrame.unionByName, wanted), "text", _exact_links(p), p, scratch), scratch)
 
     placed = texts.select("id", "digest", "least").join(joined, "id", "left").withColumn("label", F.coalesce("label", "id"))
     best = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "id"))
@@ -315,7 +346,7 @@ def keep_one(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     _, found = text_classes(rows, params, Scratch(docs.sparkSession, "near"))
     kept = found.where("keeps").select(F.col("digest").alias("_digest"), F.col("class_id").alias("_doc"))
-    packed = docs.select(F.struct(*docs.columns).alias("row"), _digest(text_col).alias("_digest"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("_doc"))
+    packed = docs.select(F.struct(*columns(docs)).alias("row"), _digest(text_col).alias("_digest"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("_doc"))
     kept = kept.withColumn("_doc", F.coalesce("_doc", F.lit(-(1 << 63))))
     one = packed.where(F.col("row")[text_col].isNotNull()).join(kept, ["_digest", "_doc"], "left_semi").dropDuplicates(["_digest", "_doc"])
     return one.unionByName(packed.where(F.col("row")[text_col].isNull())).select("row.*")

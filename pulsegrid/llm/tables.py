@@ -25,3 +25,30 @@ def small_batches(spark: SparkSession) -> None:
 def fold(doc_id: str, k: int) -> Column:
     """crc32 of the id as text, modulo k; a null id falls in fold 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % k, F.lit(0))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns by name, whatever characters the names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+HOT_SHARE = 256
+
+
+def join_keyed(rows: DataFrame, keyed: DataFrame, on: list[str], total: int) -> DataFrame:
+    """``rows``, ``total`` in number, joined with ``keyed``, which has one row a key and its count of rows as n.
+
+    Keys of more than a 256th of all rows, of which there are fewer than 256, are broadcast, so no task gets all rows of one; the
+    others are shuffled.
+    """
+    hot = F.broadcast(keyed.where(F.col("n") * HOT_SHARE > total).drop("n"))
+    rest = rows.join(hot.select(*on), on, "left_anti").join(keyed.where(F.col("n") * HOT_SHARE <= total).drop("n"), on)
+    return rows.join(hot, on).unionByName(rest)
