@@ -14,19 +14,20 @@ import pyarrow as pa
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept and grown by doubling."""
+    """base**0 .. base**(n-1) modulo 2**64, by doubling; those of a block are kept."""
     have = _powers.get(base)
     if have is None or len(have) < n:
         have = np.ones(1, dtype=np.uint64)
         while len(have) < max(n, BLOCK_BYTES + 1):
             have = np.concatenate([have, have * np.uint64(pow(base, len(have), 1 << 64))])
-        _powers[base] = have
+        if n <= BLOCK_BYTES + 1:
+            _powers[base] = have
     return have[:n]
 
 
@@ -77,7 +78,31 @@ def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int
 
 
 def words(buf: np.ndarray, offs: np.ndarray, table: np.ndarray = WORD) -> tuple[np.ndarray, ...]:
-    """(row of each word, its hash, start, end); words are maximal runs of bytes that ``table`` keeps."""
+    """(row of each word, its hash, start, end); words are maximal runs of bytes that ``table`` keeps.
+
+    A longer text than a block is cut between words, so that what is held besides the words stays small.
+    """
+    n = len(buf)
+    if n > 2 * BLOCK_BYTES:
+        cuts, look = [0], BLOCK_BYTES
+        while look < n - BLOCK_BYTES:
+            gap = np.flatnonzero(table[buf[look : look + BLOCK_BYTES]] == 0)
+            look += int(gap[0]) if len(gap) else BLOCK_BYTES
+            if len(gap):
+                cuts.append(look)
+                look += BLOCK_BYTES
+        if len(cuts) > 1:
+            parts = []
+            for lo, hi in zip(cuts, [*cuts[1:], n]):
+                inner = offs[(offs > lo) & (offs < hi)] - lo
+                _, h, s, e = _words(buf[lo:hi], np.concatenate([[0], inner, [hi - lo]]), table)
+                parts.append((h, s + lo, e + lo))
+            h, s, e = (np.concatenate(x) for x in zip(*parts))
+            return np.searchsorted(offs, s, "right") - 1, h, s, e
+    return _words(buf, offs, table)
+
+
+def _words(buf: np.ndarray, offs: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, ...]:
     n = len(buf)
     if n == 0:
         e = np.zeros(0, np.int64)

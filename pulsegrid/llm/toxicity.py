@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import sample, textvec
+from .tables import small_batches
 
 
 @dataclass(frozen=True)
@@ -89,7 +90,7 @@ class Model:
     def score(self, texts: pa.Array) -> np.ndarray:
         table = self.__dict__.get("_table")
         if table is None:  # once per worker
-            table = self.__dict__["_table"] = np.zeros(1 << self.params.bits)
+            table = self.__dict__["_table"] = np.zeros(1 << self.params.bits, np.float32)
             table[self.at] = self.weight
         out = np.zeros(len(texts))
         for lo, hi, buf, offs in textvec.blocks(texts):
@@ -116,6 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, eligible: Column, target: str = "tox
 
 def scored(docs: DataFrame, score, text_col: str = "text", names: tuple[str, ...] = ("score",)) -> DataFrame:
     """``docs`` with what ``score(texts)`` returns for each text as double columns of the given names."""
+    small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
     schema = T.StructType([*docs.schema.fields, *(T.StructField(name, T.DoubleType()) for name in names)])
 

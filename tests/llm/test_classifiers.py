@@ -3,7 +3,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import quality, textvec, toxicity
+from pulsegrid.llm import quality, sample, textvec, toxicity
 from pulsegrid.llm.tables import fold
 
 BAD = ["idiot", "scum", "trash"]
@@ -95,3 +95,11 @@ def test_ordinal_gradient_is_that_of_the_likelihood():
             up = state.copy()
             up[0, j] += 1e-6
             assert np.sign(loss(up, grade) - loss(state, grade)) == np.sign(moved[j])
+
+
+def test_conflicting_labels_teach_nothing(spark):
+    """Of ids with several labels only those that agree are used; an id of several documents teaches by the least text."""
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c"), (3, None), (None, "n"), (4, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (2, 1), (3, 0), (None, 1), (4, None)], "doc_id long, toxic int")
+    got = sample.labelled(docs, labels, F.col("toxic").cast("double"), F.lit(True), 10, "doc_id", "text").collect()
+    assert sorted((r["text"], r["y"]) for r in got) == [("", 0.0), ("a", 1.0)]

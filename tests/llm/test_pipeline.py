@@ -59,3 +59,32 @@ def test_run_equals_the_stages(spark, steps):
     got = cp.run(spark, SF).collect()
     assert sum(r["length"] for r in got) == sum(r["length"] for r in steps[4][2])
     assert {r["doc_id"] for r in got} == {r["doc_id"] for r in steps[4][2]}
+
+
+CLASHES = "toxic_score string, quality_1 string, lines_before string, lines_removed long, class_id string, row int"
+
+
+def test_odd_rows_pass_every_stage(spark):
+    """Nulls in any column, empty and blank texts, a very long one, repeated rows and columns of the stages' own names."""
+    good = [r for r in read(spark, SF, "documents").join(read(spark, SF, "labels").where("quality = 1 and toxic = 0"), "doc_id").orderBy("doc_id").limit(4).collect()]
+    line = " ".join(f"w{k}" for k in range(60))
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in good]
+    rows += [rows[0], rows[0], (90001, None, None, None, None), (None, None, "en", "s", 0), (None, "a text of its own", None, None, 17), (90002, "", "en", None, 0), (90003, " \n ", "en", "s", 3)]
+    rows += [(90004, line, "en", "s", len(line)), (90005, line + "\nown words", "en", "s", None), (90006, "word " * 40_000, None, "s", 200_000)]
+    extra = ("x", "y", "z", 7, "c", 5)
+    docs = spark.createDataFrame([(*r, *extra) for r in rows], f"doc_id long, text string, lang string, source string, n_chars int, {CLASHES}")
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, SF).collect()
+        assert all(tuple(r)[5:] == extra for r in out), name
+        ids = [r["doc_id"] for r in out]
+        assert {r[0] for r in rows[:4]} | {90001} <= set(ids), name
+        assert [r["text"] for r in out if r["doc_id"] == 90001] == [None]
+        assert ids.count(rows[0][0]) == (1 if name == "near dedup" else 3), name
+        empty = stage(spark, docs.limit(0), SF)
+        assert empty.columns == docs.columns and empty.count() == 0
+    cut = {r["doc_id"]: r for r in cp.cut_repeated_lines(spark, docs, SF).collect()}
+    assert 90005 in cut and cut[90005]["text"] == "own words" and cut[90005]["n_chars"] == len("own words") and cut[90004]["text"] == line
+    near = cp.keep_one_copy(spark, docs, SF).collect()
+    assert sum(r["text"] is None for r in near) == 2 and sum(r["text"] == "" for r in near) == 1
+    packed = cp.pack(spark, docs, SF).collect()
+    assert sum(r["length"] for r in packed if r["doc_id"] == 90001) == 1 and cp.pack(spark, docs.limit(0), SF).count() == 0
