@@ -30,7 +30,7 @@ WINDOW = 2048
 END_ID = 1
 UNIT = 8
 MOST_OPEN = 256
-CACHE_BYTES = 16 << 20  # of each of two generations of words
+CACHE_BYTES = 64 << 20  # of each of two generations of words
 KEPT_CHARS = 256  # longer pieces are not kept
 
 SCHEMA = T.StructType([
@@ -100,12 +100,12 @@ class WordTokenizer:
             cut.append(t.replace("\n", " ").split(" ") if odd else self.pieces(t.encode().lower().decode()))
             (chunks if odd else words).update(cut[-1])
         new = words.union(chunks).difference(known)
-        again = new.intersection(older)
+        again = [w for w in new if w in older]
         known.update((w, older[w]) for w in again)
-        new -= again
+        new.difference_update(again)
         self.learn(sorted(new & words), sorted(new - words))
         out = [b"".join(map(known.__getitem__, c)) for c in cut]
-        self.held += sum(len(w) + len(known[w]) + 150 for w in new) + 100 * len(again)
+        self.held += 150 * len(new) + 3 * sum(map(len, new)) + 100 * len(again)
         for w in [w for w in new if len(w) > KEPT_CHARS]:
             del known[w]
         return out
@@ -245,9 +245,9 @@ def _pack(path: str, window: int):
 
         for batch in batches:
             docs, texts = batch.column(0).to_pylist(), batch.column(1)
-            for lo in range(0, len(docs), 64):
-                part = [t or "" for t in texts.slice(lo, 64).to_pylist()]
-                for doc, ids in zip(docs[lo : lo + 64], tok.encode(part)):
+            for lo in range(0, len(docs), 256):
+                part = [t or "" for t in texts.slice(lo, 256).to_pylist()]
+                for doc, ids in zip(docs[lo : lo + 256], tok.encode(part)):
                     ids += end
                     total = len(ids) // 4
                     whole = total - total % window
