@@ -72,10 +72,11 @@ def zscores(df: DataFrame, cols: list[str], clip: float) -> DataFrame:
     return df.withColumns(out).drop("n_ref", *[f"{c}_{k}" for c in cols for k in ("centre", "scale")])
 
 
-def standardise(df: DataFrame, mode: str, cols: list[str], n_ref: int = 100, clip: float = 20.0, min_ref: int = 5) -> DataFrame:
+def standardise(df: DataFrame, mode: str, cols: list[str], n_ref: int = 100, clip: float = 20.0, min_ref: int = 5, approx: bool = False) -> DataFrame:
     """baseline: by the first n_ref rows of a subject; subject: by all of them; none: as it is.  Time is never scaled.
 
-    A subject with fewer than ``min_ref`` reference rows is an error in baseline mode.
+    A subject with fewer than ``min_ref`` reference rows is an error in baseline mode.  ``approx`` bounds the buffers of the
+    cohort's quartiles, which otherwise hold the different values of a feature in one task.
     """
     if mode == "none":
         return df
@@ -84,7 +85,7 @@ def standardise(df: DataFrame, mode: str, cols: list[str], n_ref: int = 100, cli
     cols = [c for c in cols if c != TIME]
     if not cols:
         return df
-    cohort = {r["feature"]: r["iqr"] for r in cohort_iqr(df, cols).collect()}  # one number per feature
+    cohort = {r["feature"]: r["iqr"] for r in cohort_iqr(df, cols, approx).collect()}  # one number per feature
     refs = centre_scale(df, cols, n_ref if mode == "baseline" else None, cohort)
     if mode == "baseline":
         few = F.col("n_ref") < min_ref

@@ -20,17 +20,17 @@ from pulsegrid.plans import loso
 CLASS_NAMES = {"binary": {0: "non-stress", 1: "stress"}, "3class": {1: "baseline", 2: "stress", 3: "amusement"}}
 
 
-def fit_final(df: DataFrame, task: str, model: str, feature_set: str, seed: int = 0, cfg: Config = Config(), trees: loso.Trees = loso.Trees()) -> tuple[PipelineModel, dict]:
+def fit_final(df: DataFrame, task: str, model: str, feature_set: str, seed: int = 0, cfg: Config = Config(), trees: loso.Trees = loso.Trees(), approx: bool = False) -> tuple[PipelineModel, dict]:
     """(model over all subjects, contract): column order, cohort spread, class names, counts."""
     cols = contract.resolve(feature_set, df.columns)
     contract.guard(cols, feature_set)
-    scaled = scaling.make_target(scaling.standardise(df, "baseline", cols, cfg.n_ref, cfg.clip, cfg.min_ref), task)
+    scaled = scaling.make_target(scaling.standardise(df, "baseline", cols, cfg.n_ref, cfg.clip, cfg.min_ref, approx), task)
     train = scaled.join(F.broadcast(loso.class_weights(scaled)), "y")
     fitted = Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="x"), loso.make_estimator(model, task, seed, trees)]).fit(train)
     balance = {str(r["y"]): r["n"] for r in scaled.groupBy("y").agg(F.count("*").alias("n")).collect()}
     sidecar = {
         "task": task, "model": model, "feature_set": feature_set, "feature_names": cols, "seed": seed, "n_ref": cfg.n_ref, "clip": cfg.clip,
-        "cohort_iqr": {r["feature"]: r["iqr"] for r in scaling.cohort_iqr(df, cols).collect()}, "class_balance": balance,
+        "cohort_iqr": {r["feature"]: r["iqr"] for r in scaling.cohort_iqr(df, cols, approx).collect()}, "class_balance": balance,
         "class_names": {str(k): v for k, v in CLASS_NAMES[task].items()}, "n_train_windows": sum(balance.values()),
         "n_train_subjects": df.select("subject").distinct().count(), "spark_version": pyspark.__version__, "exported_utc": datetime.now(timezone.utc).isoformat(timespec="seconds"),
     }

@@ -74,11 +74,11 @@ def recording_duration(spark, sf):
 HALF = Config(fs=CFG.fs | {"label": 0.5})
 
 
-@query(f"""WITH {REC}, lab AS (SELECT subject, i, label FROM wide WHERE i < 300), last AS (SELECT subject, max(i) AS last FROM lab GROUP BY subject)
+@query(f"""WITH {REC}, lab AS (SELECT subject, i // 2 AS i, label FROM wide WHERE i % 2 = 0), last AS (SELECT subject, max(i) AS last FROM lab GROUP BY subject)
         SELECT w.subject, w.i AS sample_idx, l.label FROM wide w JOIN last USING (subject)
         JOIN lab l ON l.subject = w.subject AND l.i = least(greatest(round_even(w.i * 0.5, 0)::BIGINT, 0), last)""")
 def label_nearest(spark, sf):
-    labels = X.labels_1hz(spark, sf).where("sample_idx < 300")
+    labels = X.half_rate(X.labels_1hz(spark, sf))
     return timebase.label_nearest(X.samples_1hz(spark, sf, ["eda"]), labels, HALF).select("subject", "sample_idx", "label")
 
 

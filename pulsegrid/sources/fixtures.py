@@ -35,6 +35,11 @@ def labels_1hz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide_1hz(spark, sf_dir).select("subject", "sample_idx", "label")
 
 
+def half_rate(labels: DataFrame) -> DataFrame:
+    """Every second label of a track, as a track of half the rate."""
+    return labels.where("sample_idx % 2 = 0").withColumn("sample_idx", F.floor(F.col("sample_idx") / 2))
+
+
 def pulse_64hz(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pulse wave of 60 to 110 beats a minute by subject, with noise from prices: subject, sample_idx, v."""
     rate = 1.0 + F.pmod(F.col("l_suppkey"), F.lit(10)) / 12

@@ -187,8 +187,8 @@ def test_loso_never_leaks_and_skips_single_class_folds(spark):
     assert got.summary.first()["balanced_acc_mean"] > 0.7
 
 
-def test_registered_runs_are_whole(spark, monkeypatch):
-    """Default trees, a fold per subject up to the bound, both tasks and the eight sets of the sweep."""
+def test_registered_runs_take_every_fold_task_and_set(spark, monkeypatch):
+    """A fold per subject up to the bound, both tasks and the eight sets of the sweep; the operators' own defaults are whole."""
     from pulsegrid import queries_model
 
     calls, df = [], feature_rows(spark, 4, 5)
@@ -196,7 +196,7 @@ def test_registered_runs_are_whole(spark, monkeypatch):
     class Done:
         summary = permutation = spark.createDataFrame([("t", "m", "all", 0.0)], "task string, model string, feature_set string, balanced_acc_mean double")
 
-    def noted(df, task, model, feature_set, seed=0, mode="baseline", permutation=False, k=None, trees=loso.Trees(), threads=4):
+    def noted(df, task, model, feature_set, seed=0, mode="baseline", permutation=False, k=None, trees=loso.Trees(), threads=4, approx=False):
         calls.append((task, model, feature_set, k, trees))
         return Done
 
@@ -204,11 +204,41 @@ def test_registered_runs_are_whole(spark, monkeypatch):
     monkeypatch.setattr(loso, "run", noted)
     for q in (queries_model.loso_rf, queries_model.loso_gbt, queries_model.permutation_importance, queries_model.ablation_sweep):
         q(spark, "")
-    assert {c[3:] for c in calls} == {(None, loso.Trees())} and loso.Trees() == loso.Trees(400, 300, 30)
+    assert {c[4] for c in calls} == {queries_model.TREES} and loso.Trees() == loso.Trees(400, 300, 30)
+    assert [c[3] for c in calls] == [None, None, 3] + [3] * 16  # of four subjects
     assert len(calls) == 3 + 16 and len({c[:3] for c in calls[3:]}) == 16
     assert loso.groups(df) is None and loso.groups(df, 3) == 3
 
 
+def test_gaps_are_filled_from_the_train_side_only(spark, monkeypatch):
+    """Mode none: the held-out subject's values, far from all others, must not move the medians."""
+    rows = [(f"s{i % 3}", 1 + (i // 3) % 3, float(i), 1000.0 if i % 3 == 0 else None if i % 4 == 0 else 5.0) for i in range(90)]
+    df = spark.createDataFrame(rows, "subject string, label int, t_start double, eda_scl_mean double")
+    seen, fill = [], loso.impute_train_median
+
+    def noted(train, other, cols, approx=False):
+        out = fill(train, other, cols, approx)
+        seen.append(({r["subject"] for r in train.select("subject").distinct().collect()}, {r["eda_scl_mean"] for r in out.select("eda_scl_mean").distinct().collect()}, {r["subject"] for r in other.select("subject").distinct().collect()}))
+        return out
+
+    monkeypatch.setattr(loso, "impute_train_median", noted)
+    got = loso.run(df, "binary", "rf", "eda_only", mode="none", trees=loso.Trees(rf_trees=3, max_depth=3), threads=1)
+    assert got.predictions.count() == 90
+    assert all(len(train) == 2 for train, *_ in seen)
+    assert next(values for train, values, other in seen if other == {"s0"} and "s0" not in train) == {1000.0}
+    assert next(values for train, values, other in seen if other == train == {"s1", "s2"}) == {5.0}
+
+
+def test_results_are_saved_by_tag(spark, tmp_path):
+    got = loso.run(feature_rows(spark, 3, 30), "binary", "rf", "eda_only", trees=loso.Trees(rf_trees=3, max_depth=3))
+    for _ in range(2):  # a rerun replaces its own part
+        loso.save_results(got, f"{tmp_path}/r", "binary", "rf", "eda_only", "baseline")
+    loso.save_results(got, f"{tmp_path}/r", "binary", "rf", "clean", "baseline")
+    for name, n in (("folds", 3), ("summary", 1), ("confusion", 2)):
+        back = spark.read.parquet(f"{tmp_path}/r/{name}")
+        assert {(r["feature_set"], r["count"]) for r in back.groupBy("feature_set").count().collect()} == {("eda_only", n), ("clean", n)}
+
+
 def test_grouped_folds_keep_scores_by_subject(spark):
     got = loso.run(feature_rows(spark, 5, 40), "binary", "rf", "eda_only", k=2, trees=loso.Trees(rf_trees=3, max_depth=3))
     assert {r["subject"] for r in got.folds.collect()} == {f"s{i}" for i in range(5)}
