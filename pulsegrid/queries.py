@@ -201,7 +201,11 @@ def abs_integral(spark, sf):
     return rounded(_blocks(_arrays(spark, sf, "acc_x")).select("subject", "w", A.abs_integral(F.col("acc_x"), 1.0).alias("acc_x_absint")))
 
 
-@query()
+@query("""WITH e AS (SELECT CAST(vec_id AS VARCHAR) AS subject, embedding::DOUBLE[] AS v FROM embeddings
+), x AS (SELECT subject, len(v) AS n, unnest(range(0, len(v))) AS i, unnest(v) - list_avg(v) AS x FROM e
+), bins AS (SELECT subject, k, k * 32.0 / any_value(n) AS f, pow(sum(x * cos(2 * pi() * k * i / n)), 2) + pow(sum(x * sin(2 * pi() * k * i / n)), 2) AS power, max(abs(x)) AS most
+    FROM x, range(1, 33) AS b(k) WHERE k * 32.0 / n BETWEEN 0.3 AND 10 GROUP BY subject, k
+) SELECT subject, CASE WHEN max(most) = 0 THEN 0.0 ELSE arg_max(f, power) END::DOUBLE AS acc_x_peakfreq FROM bins GROUP BY subject""")
 def peak_frequency(spark, sf):
     rec = X.recording_arrays(spark, sf, "acc_x")
     return rec.select("subject", signal.peak_frequency(32.0)(F.col("values")).alias("acc_x_peakfreq"))
@@ -219,10 +223,31 @@ def eda_decompose(spark, sf):
     return rounded(df.select("subject", "sample_idx", "z.tonic", "z.phasic"))
 
 
-@query()
+#: Runs of equal samples; peaks above both neighbouring runs; the stretch without higher ground around each; its lows on both sides;
+#: where it crosses half of its amplitude.
+EVENTS = TONIC + """, ph AS (SELECT subject, k - 1 AS i, phasic AS x FROM t
+), steps AS (SELECT *, CASE WHEN x = lag(x) OVER (PARTITION BY subject ORDER BY i) THEN 0 ELSE 1 END AS new FROM ph
+), numbered AS (SELECT *, sum(new) OVER (PARTITION BY subject ORDER BY i) AS run FROM steps
+), runs AS (SELECT subject, run, (min(i) + max(i)) // 2 AS p, any_value(x) AS px FROM numbered GROUP BY subject, run
+), beside AS (SELECT *, lag(px) OVER (PARTITION BY subject ORDER BY run) AS a, lead(px) OVER (PARTITION BY subject ORDER BY run) AS b FROM runs
+), reach AS (SELECT subject, p, px, coalesce(max(i) FILTER (i < p AND x > px) + 1, 0) AS l, coalesce(min(i) FILTER (i > p AND x > px) - 1, max(i)) AS r
+    FROM beside JOIN ph USING (subject) WHERE px > a AND px > b GROUP BY ALL
+), lows AS (SELECT subject, p, px, l, r, min(x) FILTER (i BETWEEN l AND p) AS low_l, min(x) FILTER (i BETWEEN p AND r) AS low_r FROM reach JOIN ph USING (subject) GROUP BY ALL
+), tall AS (SELECT *, px - greatest(low_l, low_r) AS amp, px - (px - greatest(low_l, low_r)) / 2 AS half FROM lows WHERE px - greatest(low_l, low_r) >= 0.01
+), feet AS (SELECT subject, p, amp, half, max(i) FILTER (i BETWEEN l AND p AND x = low_l) AS bl, min(i) FILTER (i BETWEEN p AND r AND x = low_r) AS br
+    FROM tall JOIN ph USING (subject) GROUP BY ALL
+), ends AS (SELECT subject, p, amp, half, max(i) FILTER (i BETWEEN bl AND p AND (x <= half OR i = bl)) AS il, min(i) FILTER (i BETWEEN p AND br AND (x <= half OR i = br)) AS ir
+    FROM feet JOIN ph USING (subject) GROUP BY ALL
+), width AS (SELECT e.subject, p, amp, CASE WHEN b.x < half THEN ir - (half - b.x) / (b2.x - b.x) ELSE ir END - CASE WHEN a.x < half THEN il + (half - a.x) / (a2.x - a.x) ELSE il END AS w
+    FROM ends e JOIN ph a ON a.subject = e.subject AND a.i = il JOIN ph a2 ON a2.subject = e.subject AND a2.i = il + 1
+    JOIN ph b ON b.subject = e.subject AND b.i = ir JOIN ph b2 ON b2.subject = e.subject AND b2.i = ir - 1
+), ev AS (SELECT subject, p::DOUBLE AS idx, amp, w / 4 / 2 AS rise, w / 4 AS dur FROM width WHERE w >= 1)"""
+
+
+@query(EVENTS + f" SELECT subject, {R('idx')}, {R('amp')}, {R('rise')}, {R('dur')} FROM ev")
 def scr_events(spark, sf):
     df = X.recording_arrays(spark, sf).select("subject", signal.eda_decompose(4.0)("values").alias("p"))
-    return df.select("subject", F.explode(signal.scr_events(4.0)("p.phasic")).alias("e")).select("subject", "e.*")
+    return rounded(df.select("subject", F.explode(signal.scr_events(4.0)("p.phasic")).alias("e")).select("subject", "e.*"))
 
 
 def _eda(spark, sf):
@@ -235,9 +260,10 @@ def eda_level_features(spark, sf):
     return rounded(_eda(spark, sf).select("subject", "eda_scl_mean", "eda_scl_sd", "eda_scr_sd", "eda_range", "eda_slope"))
 
 
-@query()
+@query(EVENTS + f""" SELECT subject, {R('count(idx)', 'eda_scr_count')}, {R('coalesce(sum(amp), 0)', 'eda_scr_amp_sum')}, {R('coalesce(avg(amp), 0)', 'eda_scr_amp_mean')},
+        {R('coalesce(avg(rise), 0)', 'eda_scr_risetime_mean')}, {R('coalesce(sum(dur), 0)', 'eda_scr_duration_sum')} FROM e LEFT JOIN ev USING (subject) GROUP BY subject""")
 def scr_features(spark, sf):
-    return _eda(spark, sf).select("subject", *contract.EDA[5:])
+    return rounded(_eda(spark, sf).select("subject", *contract.EDA[5:]))
 
 
 def _hr_blocks(spark, sf):

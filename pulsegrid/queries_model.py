@@ -417,15 +417,28 @@ def stream_long_windows(spark, sf):
     return rounded(out.drop("stream").withColumn("start", F.col("start").cast("timestamp_ntz")))
 
 
-@query()
+def _warm_up(reset: str) -> str:
+    """Ten rows of a wearer after each reset are the reference; later ones are scaled by it."""
+    return f"""WITH r AS (SELECT user_id::VARCHAR AS wearer, ts::TIMESTAMP AS ts, value AS v, {reset} AS reset FROM events
+    ), s AS (SELECT *, count(*) FILTER (reset) OVER (PARTITION BY wearer ORDER BY ts) AS part FROM r
+    ), k AS (SELECT *, row_number() OVER (PARTITION BY wearer, part ORDER BY ts) AS k FROM s WHERE NOT reset
+    ), f AS (SELECT wearer, part, quantile_cont(v, 0.5) AS c, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS d FROM k WHERE k <= 10 GROUP BY wearer, part
+    ) SELECT wearer, ts, {R('coalesce(greatest(least((v - c) / CASE WHEN d > 0 THEN d ELSE 1.0 END, 20.0), -20.0), 0.0)', 'v')} FROM k JOIN f USING (wearer, part) WHERE k > 10"""
+
+
+def _plain_time(df):
+    return rounded(df.withColumn("ts", F.col("ts").cast("timestamp_ntz")))
+
+
+@query(_warm_up("false"))
 def stream_scorer(spark, sf):
     rows = _events(spark, sf).withColumn("reset", F.lit(False))
-    return _drain(spark, live.scaled_rows(rows, ["v"], 10, {"v": 1.0}), "scorer")
+    return _plain_time(_drain(spark, live.scaled_rows(rows, ["v"], 10, {"v": 1.0}), "scorer"))
 
 
-@query()
+@query(_warm_up("event_type = 'signup'"))
 def stream_reset(spark, sf):
-    return _drain(spark, live.scaled_rows(_events(spark, sf), ["v"], 10, {"v": 1.0}), "reset")
+    return _plain_time(_drain(spark, live.scaled_rows(_events(spark, sf), ["v"], 10, {"v": 1.0}), "reset"))
 
 
 @query()
