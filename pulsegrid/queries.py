@@ -211,9 +211,15 @@ def peak_frequency(spark, sf):
     return rec.select("subject", signal.peak_frequency(32.0)(F.col("values")).alias("acc_x_peakfreq"))
 
 
-TONIC = """WITH e AS (SELECT CAST(vec_id AS VARCHAR) AS subject, embedding::DOUBLE[] AS v FROM embeddings
-), p AS (SELECT subject, v, list_concat(list_concat(repeat([0.0::DOUBLE], 16), v), repeat([0.0::DOUBLE], 16)) AS z, unnest(range(1, len(v) + 1)) AS k FROM e
-), t AS (SELECT subject, k, list_sort(list_slice(z, k, k + 32))[17] AS tonic, v[k] - list_sort(list_slice(z, k, k + 32))[17] AS phasic, v[k] AS raw FROM p)"""
+def _tonic(half: int) -> str:
+    """From e (subject, v list): the running median of 2 * half + 1 samples with zeros beyond the ends."""
+    zeros = f"repeat([0.0::DOUBLE], {half})"
+    middle = f"list_sort(list_slice(z, k, k + {2 * half}))[{half + 1}]"
+    return f"""p AS (SELECT subject, v, list_concat(list_concat({zeros}, v), {zeros}) AS z, unnest(range(1, len(v) + 1)) AS k FROM e
+), t AS (SELECT subject, k, {middle} AS tonic, v[k] - {middle} AS phasic, v[k] AS raw FROM p)"""
+
+
+TONIC = f"WITH e AS (SELECT CAST(vec_id AS VARCHAR) AS subject, embedding::DOUBLE[] AS v FROM embeddings), {_tonic(16)}"
 
 
 @query(TONIC + f" SELECT subject, (k - 1)::INTEGER AS sample_idx, {R('tonic')}, {R('phasic')} FROM t")
@@ -223,9 +229,10 @@ def eda_decompose(spark, sf):
     return rounded(df.select("subject", "sample_idx", "z.tonic", "z.phasic"))
 
 
-#: Runs of equal samples; peaks above both neighbouring runs; the stretch without higher ground around each; its lows on both sides;
-#: where it crosses half of its amplitude.
-EVENTS = TONIC + """, ph AS (SELECT subject, k - 1 AS i, phasic AS x FROM t
+def _events(fs: int) -> str:
+    """From t of _tonic: runs of equal samples; peaks above both neighbouring runs; the stretch without higher ground around each; its lows
+    on both sides; where it crosses half of its amplitude."""
+    return f""", ph AS (SELECT subject, k - 1 AS i, phasic AS x FROM t
 ), steps AS (SELECT *, CASE WHEN x = lag(x) OVER (PARTITION BY subject ORDER BY i) THEN 0 ELSE 1 END AS new FROM ph
 ), numbered AS (SELECT *, sum(new) OVER (PARTITION BY subject ORDER BY i) AS run FROM steps
 ), runs AS (SELECT subject, run, (min(i) + max(i)) // 2 AS p, any_value(x) AS px FROM numbered GROUP BY subject, run
@@ -241,7 +248,10 @@ EVENTS = TONIC + """, ph AS (SELECT subject, k - 1 AS i, phasic AS x FROM t
 ), width AS (SELECT e.subject, p, amp, CASE WHEN b.x < half THEN ir - (half - b.x) / (b2.x - b.x) ELSE ir END - CASE WHEN a.x < half THEN il + (half - a.x) / (a2.x - a.x) ELSE il END AS w
     FROM ends e JOIN ph a ON a.subject = e.subject AND a.i = il JOIN ph a2 ON a2.subject = e.subject AND a2.i = il + 1
     JOIN ph b ON b.subject = e.subject AND b.i = ir JOIN ph b2 ON b2.subject = e.subject AND b2.i = ir - 1
-), ev AS (SELECT subject, p::DOUBLE AS idx, amp, w / 4 / 2 AS rise, w / 4 AS dur FROM width WHERE w >= 1)"""
+), ev AS (SELECT subject, p::DOUBLE AS idx, amp, w / {fs} / 2 AS rise, w / {fs} AS dur FROM width WHERE w >= 1)"""
+
+
+EVENTS = TONIC + _events(4)
 
 
 @query(EVENTS + f" SELECT subject, {R('idx')}, {R('amp')}, {R('rise')}, {R('dur')} FROM ev")
@@ -337,9 +347,39 @@ def cross_features(spark, sf):
     return rounded(features.cross(df).select("subject", "w", *contract.CROSS))
 
 
-@query()
+ACCEPTED = "SELECT subject, w, majority AS label, subject || ':' || w AS key FROM labelled WHERE reason IS NULL"
+
+
+def table_sql(kept: str = ACCEPTED) -> str:
+    """whole: all 42 features, every part as in its own query, of the windows ``kept``."""
+    axes, window = ("x", "y", "z"), "x.subject = g.subject AND x.i >= g.w * 5 AND x.i < g.w * 5 + 60"
+    turn = "2 * pi() * q.k * (i - w * 5) / 15"
+    bins = " UNION ALL ".join(f"SELECT subject, w, '{c}' AS axis, q.k / 15.0 AS f, pow(sum((acc_{c} - m_{c}) * cos({turn})), 2) + pow(sum((acc_{c} - m_{c}) * sin({turn})), 2) AS power FROM km, range(5, 8) AS q(k) GROUP BY subject, w, q.k" for c in axes)
+    moved = [c for c in contract.IMU if not c.endswith("peakfreq") and not c.startswith("motion")]
+    return f"""WITH {REC}{LABELLED}{HR_SQL}{ROLLED}{IMU_SQL.replace(BLOCK, '')}{GATE}
+    , bins AS ({bins}), best AS (SELECT subject, w, axis, arg_max(f, power) AS f FROM bins GROUP BY ALL
+    ), turned AS (SELECT subject, w, {', '.join(f"max(f) FILTER (axis = '{c}') AS acc_{c}_peakfreq" for c in axes)} FROM best GROUP BY subject, w
+    ), motion AS (SELECT g.subject, g.w, {', '.join(f'avg({c}) AS {c}' for c in [*moved, *(f'acc_{c}_peakfreq' for c in axes)])}
+        FROM grid g JOIN imub f ON f.subject = g.subject AND f.w IN (g.w, g.w + 3, g.w + 6, g.w + 9) JOIN turned u ON u.subject = f.subject AND u.w = f.w GROUP BY g.subject, g.w
+    ), kept AS ({kept}
+    ), warm AS (SELECT g.key, avg(temp) AS temp_mean, min(temp) AS temp_min, max(temp) AS temp_max, max(temp) - min(temp) AS temp_range, regr_slope(temp, i) AS temp_slope,
+            avg(temp) - any_value(baseline_temp) AS temp_baseline_delta FROM kept g JOIN wide x ON {window} JOIN refs r ON r.subject = g.subject GROUP BY g.key
+    ), e AS (SELECT g.key AS subject, list(x.eda ORDER BY x.i) AS v FROM kept g JOIN wide x ON {window} GROUP BY g.key), {_tonic(4)}{_events(1)}
+    , skin AS (SELECT subject AS key, avg(tonic) AS eda_scl_mean, stddev_pop(tonic) AS eda_scl_sd, stddev_pop(phasic) AS eda_scr_sd, max(raw) - min(raw) AS eda_range, regr_slope(raw, k - 1) AS eda_slope FROM t GROUP BY subject
+    ), answers AS (SELECT e.subject AS key, count(idx) AS eda_scr_count, coalesce(sum(amp), 0) AS eda_scr_amp_sum, coalesce(avg(amp), 0) AS eda_scr_amp_mean, coalesce(avg(rise), 0) AS eda_scr_risetime_mean,
+            coalesce(sum(dur), 0) AS eda_scr_duration_sum FROM e LEFT JOIN ev USING (subject) GROUP BY e.subject
+    ), whole AS (SELECT kept.subject, kept.w, kept.label, skin.* EXCLUDE (key), answers.* EXCLUDE (key), warm.* EXCLUDE (key), rolled.* EXCLUDE (subject, w), motion.* EXCLUDE (subject, w), gate.* EXCLUDE (subject, w),
+            hr_baseline_delta * (1 - motion_fraction) AS hr_delta_x_still, eda_range * (1 - motion_fraction) AS eda_range_gated
+        FROM kept JOIN skin USING (key) JOIN answers USING (key) JOIN warm USING (key)
+        JOIN rolled ON rolled.subject = kept.subject AND rolled.w = kept.w JOIN motion ON motion.subject = kept.subject AND motion.w = kept.w JOIN gate ON gate.subject = kept.subject AND gate.w = kept.w)"""
+
+
+LABEL_NAME = "CASE label WHEN 1 THEN 'baseline' WHEN 2 THEN 'stress' WHEN 3 THEN 'amusement' END AS label_name"
+
+
+@query(f"{table_sql()} SELECT {', '.join(R(c) for c in contract.FEATURE_NAMES)}, subject, label, {LABEL_NAME}, {R('w * 5', 't_start')} FROM whole")
 def feature_table(spark, sf):
-    return features.build_table(X.samples_1hz(spark, sf), X.labels_1hz(spark, sf), CFG)
+    return rounded(features.build_table(X.samples_1hz(spark, sf), X.labels_1hz(spark, sf), CFG))
 
 
 @query(f"WITH {FEAT} SELECT subject, t_start, [eda_scl_mean, eda_range, eda_scr_count, eda_scr_amp_sum] AS features FROM feat")

@@ -8,7 +8,7 @@ from pulsegrid import contract
 from pulsegrid.config import Config
 from pulsegrid.operators import diagnose, metrics, quality, scaling, scoring
 from pulsegrid.plans import export, loso
-from pulsegrid.queries import CFG, DEFECT, FEAT, PRED, REC, R, query, rounded
+from pulsegrid.queries import CFG, DEFECT, FEAT, PRED, REC, R, query, rounded, table_sql
 from pulsegrid.sources import fixtures as X
 from pulsegrid.sources import shared
 from pulsegrid.streaming import live
@@ -441,11 +441,18 @@ def stream_reset(spark, sf):
     return _plain_time(_drain(spark, live.scaled_rows(_events(spark, sf), ["v"], 10, {"v": 1.0}), "reset"))
 
 
-@query()
+STREAM_START = 1_700_000_000 - 1_700_000_000 % 60
+WITHOUT_REFS = {"hr_baseline_delta", "temp_baseline_delta", "hr_delta_x_still"}
+ENDED = "SELECT subject, w, NULL::INTEGER AS label, subject || ':' || w AS key FROM grid WHERE w * 5 + 60 <= (SELECT max(i) FROM wide) - 10"
+
+
+@query(f"""{table_sql(ENDED)} SELECT subject AS wearer, make_timestamp((({STREAM_START} + w * 5) * 1000000)::BIGINT) AS start,
+    {', '.join(f'NULL::DOUBLE AS {c}' if c in WITHOUT_REFS else R(c) for c in contract.FEATURE_NAMES)} FROM whole""")
 def stream_features(spark, sf):
-    """The recording of lineitem as one file stream of samples, a second apart."""
+    """The recording of lineitem as one file stream of samples, a second apart; windows that the watermark has passed."""
     path = shared.folder(spark, "packets")
-    rows = X.samples_1hz(spark, sf).select(F.col("subject").alias("wearer"), "stream", F.timestamp_seconds(F.col("sample_idx") + 1_700_000_000 - 1_700_000_000 % 60).alias("ts"), "v")
+    rows = X.samples_1hz(spark, sf).select(F.col("subject").alias("wearer"), "stream", F.timestamp_seconds(F.col("sample_idx") + STREAM_START).alias("ts"), "v")
     rows.write.parquet(path)
     stream = spark.readStream.schema(rows.schema).parquet(path)
-    return _drain(spark, live.features(stream, CFG), "features")
+    out = _drain(spark, live.features(stream, CFG), "features")
+    return rounded(out.withColumn("start", F.col("start").cast("timestamp_ntz")))
