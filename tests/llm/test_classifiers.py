@@ -103,3 +103,31 @@ def test_conflicting_labels_teach_nothing(spark):
     labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (2, 1), (3, 0), (None, 1), (4, None)], "doc_id long, toxic int")
     got = sample.labelled(docs, labels, F.col("toxic").cast("double"), F.lit(True), 10, "doc_id", "text").collect()
     assert sorted((r["text"], r["y"]) for r in got) == [("", 0.0), ("a", 1.0)]
+
+
+def test_training_equals_plain_ftrl():
+    """One shard's passes against the update rule written out coordinate by coordinate."""
+    p = toxicity.Params(bits=12, l1=0.3, passes=2)
+    rng = np.random.default_rng(11)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 30, rng.integers(0, 12))) + (" scum" if i % 3 == 0 else "") for i in range(60)]
+    y = np.array([float(i % 3 == 0) for i in range(60)])
+    bias, z, n = 1 << p.bits, {}, {}
+    for k in range(p.passes):
+        for i in np.random.default_rng(k).permutation(len(texts)):
+            _, _, buf, offs = next(textvec.blocks(pa.array([texts[i]], pa.large_string())))
+            at = [*toxicity.features(buf, offs, p.bits)[1].tolist(), bias]
+            w = {}
+            for c in at:
+                zc, nc, l1 = z.get(c, 0.0), n.get(c, 0.0), 0.0 if c == bias else p.l1
+                w[c] = 0.0 if abs(zc) <= l1 else -(zc - np.sign(zc) * l1) / ((p.beta + nc**0.5) / p.alpha + p.l2)
+            g = 1 / (1 + np.exp(-sum(w.values()))) - y[i]
+            for c in at:
+                nc = n.get(c, 0.0)
+                z[c] = z.get(c, 0.0) + g - ((nc + g * g) ** 0.5 - nc**0.5) / p.alpha * w[c]
+                n[c] = nc + g * g
+    got = toxicity._step(p)(texts, y, np.zeros((2, bias + 1), np.float32))
+    kept = [c for c in z if abs(z[c]) > p.l1 / 4 + 1e-3 or c == bias]
+    assert len(kept) > 50
+    assert [got[0, c] for c in kept] == pytest.approx([z[c] for c in kept], abs=1e-3)
+    assert [got[1, c] for c in kept] == pytest.approx([n[c] for c in kept], abs=1e-3)
+    assert not [c for c in np.flatnonzero(got[0]) if c not in z]
