@@ -385,6 +385,7 @@ def fit_final(spark, sf):
 
 # ---- streaming ---------------------------------------------------------------------------------------------------
 
+STREAM_START = 1_700_000_000 - 1_700_000_000 % 60
 
 def _events(spark, sf):
     """The events table as a stream: wearer, stream, ts, v, reset."""
@@ -417,6 +418,14 @@ def stream_long_windows(spark, sf):
     return rounded(out.drop("stream").withColumn("start", F.col("start").cast("timestamp_ntz")))
 
 
+@query(f"""SELECT vec_id::VARCHAR AS wearer, 'eda' AS stream, make_timestamp({STREAM_START}::BIGINT * 1000000 + (k - 1) * 250000) AS ts, embedding[k]::DOUBLE AS v
+    FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS k FROM embeddings)""")
+def demux_packets(spark, sf):
+    """Every vector as a packet of four samples a second."""
+    packets = X.recording_arrays(spark, sf).select(F.col("subject").alias("wearer"), "stream", F.timestamp_seconds(F.lit(STREAM_START)).alias("ts"), "values")
+    return live.demux(packets, Config()).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 def _warm_up(reset: str) -> str:
     """Ten rows of a wearer after each reset are the reference; later ones are scaled by it."""
     return f"""WITH r AS (SELECT user_id::VARCHAR AS wearer, ts::TIMESTAMP AS ts, value AS v, {reset} AS reset FROM events
@@ -441,7 +450,6 @@ def stream_reset(spark, sf):
     return _plain_time(_drain(spark, live.scaled_rows(_events(spark, sf), ["v"], 10, {"v": 1.0}), "reset"))
 
 
-STREAM_START = 1_700_000_000 - 1_700_000_000 % 60
 WITHOUT_REFS = {"hr_baseline_delta", "temp_baseline_delta", "hr_delta_x_still"}
 ENDED = "SELECT subject, w, NULL::INTEGER AS label, subject || ':' || w AS key FROM grid WHERE w * 5 + 60 <= (SELECT max(i) FROM wide) - 10"
 
