@@ -6,10 +6,12 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pulsegrid.config import Config
 from pulsegrid.functions.arrays import finite
 from pulsegrid.operators import timebase
+from pulsegrid.sources import shared
 
 # Expected class shares, tolerances, plausible ranges.
 EXPECTED_SHARE = {1: 0.53, 2: 0.30, 3: 0.17}
@@ -21,61 +23,103 @@ def _found(df: DataFrame, check: str, detail) -> DataFrame:
     return df.select("subject", F.lit(check).alias("check"), detail.cast("string").alias("detail"))
 
 
-def check_streams(samples: DataFrame, cfg: Config) -> DataFrame:
-    """Streams that are absent, and axes of unequal length."""
+def tracks(samples: DataFrame) -> DataFrame:
+    """(subject, stream, n, length, gaps, low, mid): what the checks of samples need of each track; ``mid`` is the median of temperatures."""
+    v = finite(F.col("v"))
+    mid = F.percentile(F.when(F.col("stream") == "temp", v), 0.5)
+    return samples.groupBy("subject", "stream").agg(F.count("*").alias("n"), (F.max("sample_idx") + 1).alias("length"), F.count_if(v.isNull()).alias("gaps"), F.min(v).alias("low"), mid.alias("mid"))
+
+
+def label_counts(labels: DataFrame) -> DataFrame:
+    """(subject, label, n, length) of each class."""
+    return labels.groupBy("subject", "label").agg(F.count("*").alias("n"), (F.max("sample_idx") + 1).alias("length"))
+
+
+def _streams(per: DataFrame, cfg: Config) -> DataFrame:
     want = [s for s in cfg.fs if s != "label"]
-    per = samples.groupBy("subject", "stream").agg(F.count("*").alias("n"))
     got = per.groupBy("subject").agg(F.collect_set("stream").alias("has"), F.countDistinct(F.when(F.col("stream").startswith("acc_"), F.col("n"))).alias("lengths"))
     missing = F.array_sort(F.array_except(F.array(*map(F.lit, want)), "has"))
     absent = _found(got.where(F.size(missing) > 0), "streams", F.array_join(missing, ","))
     return absent.unionByName(_found(got.where("lengths > 1"), "axes", F.lit("unequal")))
 
 
-def check_duration_spread(samples: DataFrame, labels: DataFrame, cfg: Config, tolerance: float = DURATION_TOLERANCE_S) -> DataFrame:
-    spread = timebase.stream_durations(samples, labels, cfg).groupBy("subject").agg((F.max("seconds") - F.min("seconds")).alias("spread"))
+def _spread(per: DataFrame, classes: DataFrame, cfg: Config, tolerance: float) -> DataFrame:
+    both = per.select("subject", "stream", "length").unionByName(classes.groupBy("subject").agg(F.max("length").alias("length")).withColumn("stream", F.lit("label")))
+    seconds = F.col("length") / timebase.rate(cfg)
+    spread = both.groupBy("subject").agg((F.max(seconds) - F.min(seconds)).alias("spread"))
     return _found(spread.where(F.col("spread") > tolerance), "duration", F.format_number("spread", 1))
 
 
+def _nulls(per: DataFrame) -> DataFrame:
+    return _found(per.where("gaps > 0"), "nulls", F.concat_ws(":", "stream", F.col("gaps").cast("string")))
+
+
+def _ranges(per: DataFrame, floor: float, temp: tuple[float, float]) -> DataFrame:
+    low = per.where((F.col("stream") == "eda") & (F.col("low") < floor))
+    return _found(low, "eda_range", F.lit("low")).unionByName(_found(per.where(~F.col("mid").between(*temp)), "temp_range", F.lit("median")))
+
+
+def _classes(classes: DataFrame, cfg: Config) -> DataFrame:
+    wanted = F.array(*map(F.lit, cfg.keep_labels))
+    has = classes.groupBy("subject").agg(F.collect_set("label").alias("has"))
+    missing = has.select("subject", F.explode(F.array_except(wanted.cast("array<long>"), F.col("has").cast("array<long>"))).alias("label"))
+    return _found(missing, "class", F.col("label"))
+
+
+def _shares(classes: DataFrame, tolerance: float) -> DataFrame:
+    of = lambda when: F.coalesce(F.sum(F.when(when, F.col("n"))), F.lit(0))
+    shares = classes.groupBy("subject").agg(*[F.try_divide(of(F.col("label") == c), of(F.col("label").isin(*EXPECTED_SHARE))).alias(f"s{c}") for c in EXPECTED_SHARE])
+    long = shares.select("subject", F.explode(F.array(*[F.struct(F.lit(c).alias("label"), F.abs(F.coalesce(f"s{c}", F.lit(0.0)) - e).alias("off")) for c, e in EXPECTED_SHARE.items()])).alias("x"))
+    return _found(long.where(F.col("x.off") > tolerance), "share", F.col("x.label"))
+
+
+def check_streams(samples: DataFrame, cfg: Config) -> DataFrame:
+    """Streams that are absent, and axes of unequal length."""
+    return _streams(tracks(samples), cfg)
+
+
+def check_duration_spread(samples: DataFrame, labels: DataFrame, cfg: Config, tolerance: float = DURATION_TOLERANCE_S) -> DataFrame:
+    return _spread(tracks(samples), label_counts(labels), cfg, tolerance)
+
+
 def check_nulls(samples: DataFrame) -> DataFrame:
-    bad = samples.groupBy("subject", "stream").agg(F.count_if(finite(F.col("v")).isNull()).alias("n")).where("n > 0")
-    return bad.select("subject", F.lit("nulls").alias("check"), F.concat_ws(":", "stream", F.col("n").cast("string")).alias("detail"))
+    return _nulls(tracks(samples))
 
 
 def check_ranges(samples: DataFrame, floor: float = EDA_FLOOR, temp: tuple[float, float] = TEMP_RANGE) -> DataFrame:
-    v = finite(F.col("v"))
-    got = samples.where(F.col("stream").isin("eda", "temp")).groupBy("subject").agg(F.min(F.when(F.col("stream") == "eda", v)).alias("low"), F.percentile(F.when(F.col("stream") == "temp", v), 0.5).alias("mid"))
-    return _found(got.where(F.col("low") < floor), "eda_range", F.lit("low")).unionByName(_found(got.where(~F.col("mid").between(*temp)), "temp_range", F.lit("median")))
+    return _ranges(tracks(samples.where(F.col("stream").isin("eda", "temp"))), floor, temp)
 
 
 def check_classes(labels: DataFrame, cfg: Config) -> DataFrame:
     """Classes in scope that a subject never has."""
-    wanted = labels.select("subject").distinct().withColumn("label", F.explode(F.array(*map(F.lit, cfg.keep_labels))))
-    missing = wanted.join(labels.select("subject", "label").distinct(), ["subject", "label"], "left_anti")
-    return _found(missing, "class", F.col("label"))
+    return _classes(label_counts(labels), cfg)
 
 
 def check_label_share(labels: DataFrame, cfg: Config, tolerance: float = SHARE_TOLERANCE) -> DataFrame:
     """Class shares far from what the protocol gives; a missing class has share 0."""
-    total = F.count_if(F.col("label").isin(*EXPECTED_SHARE))
-    shares = labels.groupBy("subject").agg(*[F.try_divide(F.count_if(F.col("label") == c), total).alias(f"s{c}") for c in EXPECTED_SHARE])
-    long = shares.select("subject", F.explode(F.array(*[F.struct(F.lit(c).alias("label"), F.abs(F.coalesce(f"s{c}", F.lit(0.0)) - e).alias("off")) for c, e in EXPECTED_SHARE.items()])).alias("x"))
-    return _found(long.where(F.col("x.off") > tolerance), "share", F.col("x.label"))
+    return _shares(label_counts(labels), tolerance)
 
 
 def check_alignment(samples: DataFrame, labels: DataFrame, cfg: Config, stream: str = "eda") -> DataFrame:
-    """Samples whose nearest label differs from the one by truncation."""
-    one = samples.where(F.col("stream") == stream)
-    near = timebase.label_nearest(one, labels, cfg).select("subject", "sample_idx", "label")
-    cut = timebase.label_nearest(one, labels, cfg, truncate=True).select("subject", "sample_idx", F.col("label").alias("cut"))
-    off = near.join(cut, ["subject", "sample_idx"]).groupBy("subject").agg(F.count_if(F.col("label") != F.col("cut")).alias("n"))
-    return _found(off.where("n > 0"), "alignment", F.col("n"))
+    """Samples whose nearest label differs from the one by truncation, which is that label or the one before: one join finds both."""
+    track = Window.partitionBy("subject").orderBy("sample_idx")
+    before = F.when(F.lag("sample_idx").over(track) == F.col("sample_idx") - 1, F.lag("label").over(track))
+    both = labels.select("subject", "sample_idx", F.struct(F.col("label").alias("at"), before.alias("before")).alias("label"))
+    near = timebase.label_nearest(samples.where(F.col("stream") == stream), both, cfg)
+    cut = F.floor(F.col("sample_idx") / timebase.rate(cfg) * cfg.fs["label"]).cast("long") < F.col("label_idx")
+    off = near.where(cut & (F.col("label.at") != F.col("label.before"))).groupBy("subject").agg(F.count("*").alias("n"))
+    return _found(off, "alignment", F.col("n"))
 
 
 def acceptance_report(samples: DataFrame, labels: DataFrame, cfg: Config) -> DataFrame:
-    """All problems, one row each."""
+    """All problems, one row each.
+
+    One aggregate over the samples and one over the labels serve six checks; they are written, being a row per track and class.
+    """
+    per, classes = shared.written(tracks(samples), "tracks"), shared.written(label_counts(labels), "classes")
     return reduce(lambda a, b: a.unionByName(b), [
-        check_streams(samples, cfg), check_duration_spread(samples, labels, cfg), check_nulls(samples), check_ranges(samples),
-        check_classes(labels, cfg), check_label_share(labels, cfg), check_alignment(samples, labels, cfg),
+        _streams(per, cfg), _spread(per, classes, cfg, DURATION_TOLERANCE_S), _nulls(per), _ranges(per, EDA_FLOOR, TEMP_RANGE),
+        _classes(classes, cfg), _shares(classes, SHARE_TOLERANCE), check_alignment(samples, labels, cfg),
     ])
 
 

@@ -31,11 +31,11 @@ def score(df: DataFrame, refs: DataFrame, model: PipelineModel, sidecar: dict) -
     return named_predictions(model.transform(rows), sidecar)
 
 
-def named_predictions(predicted: DataFrame, sidecar: dict) -> DataFrame:
+def named_predictions(predicted: DataFrame, sidecar: dict, keep: tuple[str, ...] = ()) -> DataFrame:
     names = {int(k): v for k, v in sidecar["class_names"].items()}
     lookup = F.create_map(*[x for k, v in names.items() for x in (F.lit(k), F.lit(v))])
     out = predicted.withColumn("state", lookup[F.col("prediction").cast("int")])
     if "probability" not in predicted.columns:
-        return out.select("subject", "t_start", "state")
+        return out.select("subject", "t_start", "state", *keep)
     p = vector_to_array("probability")
-    return out.select("subject", "t_start", "state", F.create_map(*[x for k, v in names.items() for x in (F.lit(v), p[k])]).alias("probabilities"))
+    return out.select("subject", "t_start", "state", *keep, F.create_map(*[x for k, v in names.items() for x in (F.lit(v), p[k])]).alias("probabilities"))

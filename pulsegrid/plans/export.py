@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from pulsegrid import contract
 from pulsegrid.config import Config
-from pulsegrid.operators import scaling
+from pulsegrid.operators import scaling, scoring
 from pulsegrid.plans import loso
 
 CLASS_NAMES = {"binary": {0: "non-stress", 1: "stress"}, "3class": {1: "baseline", 2: "stress", 3: "amusement"}}
@@ -55,3 +55,34 @@ def load(spark: SparkSession, path: str) -> tuple[PipelineModel, dict]:
     if model.transform(zero).select("prediction").first()[0] is None:
         raise contract.ContractError("the model does not predict")
     return model, sidecar
+
+
+def verify(spark: SparkSession, path: str, df: DataFrame) -> DataFrame:
+    """(check, rows, passed): the saved model used as a live host does, on all wearers of a feature table.
+
+    cold_start: with one reference row too few nothing is scored.  warm_up: wearers that are ready.  inference: every row after a
+    warm-up has a state.  broken_row: rows without a feature are refused (1).  reset: a warm-up begins anew after the first.
+    """
+    model, sidecar = load(spark, path)
+    cols, n_ref = sidecar["feature_names"], sidecar["n_ref"]
+    order = scaling.ranked(df)
+
+    def scored(rows: DataFrame, reference: DataFrame) -> int:
+        refs = scoring.wearer_reference(reference, cols, n_ref, sidecar["cohort_iqr"])
+        return scoring.score(rows, refs, model, sidecar).where("state is not null").count()
+
+    sizes = df.groupBy("subject").agg(F.count("*").alias("n"))
+    beyond = lambda k: F.coalesce(F.sum(F.greatest(F.col("n") - k, F.lit(0))), F.lit(0))
+    want = sizes.agg(F.count_if(F.col("n") >= n_ref).alias("ready"), beyond(n_ref).alias("first"), beyond(2 * n_ref).alias("second")).first()
+    ready = scoring.wearer_reference(df, cols, n_ref, sidecar["cohort_iqr"]).where("ready").count()
+    try:
+        scored(df.drop(cols[0]), df)
+        refused = 0
+    except contract.ContractError:
+        refused = 1
+    later = order.where(F.col("_rank") > n_ref).drop("_rank")
+    found = [
+        ("cold_start", scored(df, order.where(F.col("_rank") < n_ref).drop("_rank")), 0), ("warm_up", ready, want["ready"]),
+        ("inference", scored(df, df), want["first"]), ("broken_row", refused, 1), ("reset", scored(later, later), want["second"]),
+    ]
+    return spark.createDataFrame([(c, n, n == w) for c, n, w in found], "check string, rows long, passed boolean")

@@ -383,6 +383,17 @@ def fit_final(spark, sf):
     return scoring.score(df, refs, model, sidecar).select("subject", "t_start", "state")
 
 
+@query(f"""WITH {FEAT}, n AS (SELECT subject, count(*) AS n FROM feat GROUP BY subject)
+    SELECT * FROM (SELECT unnest(['cold_start', 'warm_up', 'inference', 'broken_row', 'reset']) AS "check", unnest([0, count(*) FILTER (n >= 100), coalesce(sum(greatest(n - 100, 0)), 0)::BIGINT, 1,
+        coalesce(sum(greatest(n - 200, 0)), 0)::BIGINT]) AS rows, true AS passed FROM n)""")
+def verify_artefact(spark, sf):
+    """The final model saved, loaded and used as a live host does, on every wearer."""
+    df, path = X.features(spark, sf), shared.folder(spark, "artefact")
+    model, sidecar = export.fit_final(df, "3class", "rf", "eda_only", trees=TREES)
+    export.save(spark, model, sidecar, path)
+    return export.verify(spark, path, df)
+
+
 # ---- streaming ---------------------------------------------------------------------------------------------------
 
 STREAM_START = 1_700_000_000 - 1_700_000_000 % 60
@@ -464,3 +475,16 @@ def stream_features(spark, sf):
     stream = spark.readStream.schema(rows.schema).parquet(path)
     out = _drain(spark, live.features(stream, CFG), "features")
     return rounded(out.withColumn("start", F.col("start").cast("timestamp_ntz")))
+
+
+@query()
+def stream_states(spark, sf):
+    """A model scores the feature table as a stream: states after each wearer's warm-up, beside a current value (the stand-in of the heart rate)."""
+    df, path = X.features(spark, sf), shared.folder(spark, "states")
+    model, sidecar = export.fit_final(df, "binary", "rf", "eda_only", trees=TREES)
+    cols = sidecar["feature_names"]
+    rows = df.select(F.col("subject").alias("wearer"), F.timestamp_seconds(F.col("t_start") + STREAM_START).alias("ts"), F.lit(False).alias("reset"), *cols, F.col("eda_range").alias("hr"))
+    rows.write.parquet(f"{path}/in")
+    scaled = live.scaled_rows(live.read_parquet(spark, f"{path}/in"), cols, sidecar["n_ref"], sidecar["cohort_iqr"], sidecar["clip"], keep=("hr",))
+    live.score_to(scaled, model, sidecar, f"{path}/out", f"{path}/checkpoint", ("hr",)).awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("subject", F.col("t_start").cast("timestamp_ntz").alias("t_start"), "state", "hr")
