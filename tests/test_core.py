@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pulsegrid import contract
 from pulsegrid.config import Config, one_hertz
 from pulsegrid.functions import arrays as A
-from pulsegrid.operators import diagnose, features, metrics, scaling, scoring, timebase, windows
+from pulsegrid.operators import diagnose, features, metrics, quality, scaling, scoring, timebase, windows
 from pulsegrid.plans import export, loso
 from pulsegrid.sources import ingest
 
@@ -237,6 +237,34 @@ def test_results_are_saved_by_tag(spark, tmp_path):
     for name, n in (("folds", 3), ("summary", 1), ("confusion", 2)):
         back = spark.read.parquet(f"{tmp_path}/r/{name}")
         assert {(r["feature_set"], r["count"]) for r in back.groupBy("feature_set").count().collect()} == {("eda_only", n), ("clean", n)}
+    for _ in range(2):
+        loso.save_table(got.summary, f"{tmp_path}/sweep", "task", "model")
+        loso.save_table(got.folds, f"{tmp_path}/plain")
+    assert spark.read.parquet(f"{tmp_path}/sweep").count() == 1 and spark.read.parquet(f"{tmp_path}/plain").count() == 3
+
+
+def test_alignment_equals_both_lookups(spark):
+    """Half-rate labels with gaps in the track, samples beyond its end."""
+    cfg = Config(fs=one_hertz().fs | {"label": 0.5})
+    label = {i: (i // 3) % 3 + 1 for i in range(20) if i not in (7, 8, 13)}
+    samples = spark.createDataFrame([("s", "eda", i, 1.0) for i in range(50)], "subject string, stream string, sample_idx long, v double")
+    labels = spark.createDataFrame([("s", i, c) for i, c in label.items()], "subject string, sample_idx long, label int")
+    near = [(label.get(min(round(i / 2), 19)), label.get(min(i // 2, 19))) for i in range(50)]
+    want = sum(a is not None and b is not None and a != b for a, b in near)
+    assert want and [tuple(r) for r in quality.check_alignment(samples, labels, cfg).collect()] == [("s", "alignment", str(want))]
+
+
+def test_acceptance_report_is_the_union_of_the_checks(spark):
+    cfg = one_hertz()
+    rows = [("a", s, i, None if s == "eda" and i == 3 else -1.0 if s == "eda" else 50.0) for s in cfg.fs if s not in ("label", "hr") for i in range(20 if s == "acc_z" else 40)]
+    samples = spark.createDataFrame(rows, "subject string, stream string, sample_idx long, v double")
+    labels = spark.createDataFrame([("a", i, 1 + i % 2) for i in range(40)], "subject string, sample_idx long, label int")
+    single = [quality.check_streams(samples, cfg), quality.check_duration_spread(samples, labels, cfg), quality.check_nulls(samples), quality.check_ranges(samples), quality.check_classes(labels, cfg), quality.check_label_share(labels, cfg), quality.check_alignment(samples, labels, cfg)]
+    got = sorted(map(tuple, quality.acceptance_report(samples, labels, cfg).collect()))
+    assert got == sorted(tuple(r) for d in single for r in d.collect())
+    assert {c for _, c, _ in got} == {"streams", "axes", "duration", "nulls", "eda_range", "temp_range", "class", "share"}
+    empty = quality.acceptance_report(samples.limit(0), labels.limit(0), cfg)
+    assert empty.collect() == []
 
 
 def test_grouped_folds_keep_scores_by_subject(spark):
