@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, language, linededup, neardup, packing, quality, sharding, topk, toxicity
+from . import bpe, fingerprint, language, linededup, manifest, neardup, packing, quality, sharding, topk, toxicity, urlfilter
 from .tables import fold, read
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -62,8 +62,20 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(read(spark, sf_dir, "documents"))
 
 
+URL_RULES = [urlfilter.Rule.parse(says, text) for says, text in (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))]
+
+
+def op11_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(read(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return manifest.verify(manifest.build(read(spark, sf_dir, "documents"), shown={"text": tampered}))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_linededup, op2_sharding, op3_packing, op4_toxicity, op5_language, op6_quality, op7_neardup, op8_bpe, op9_topk, op10_fingerprint)}
+    return {f.__name__: f for f in (op1_linededup, op2_sharding, op3_packing, op4_toxicity, op5_language, op6_quality, op7_neardup, op8_bpe, op9_topk, op10_fingerprint, op11_urlfilter, op13_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -106,4 +118,65 @@ def oracle_sql() -> dict[str, str]:
                 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
             )
             SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+        "op11_urlfilter": """
+            WITH a AS (
+                SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+            ), u AS (
+                SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                       regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+                FROM a
+            ), r AS (
+                SELECT *, CASE WHEN ('.' || host) LIKE '%.example.net' AND path LIKE '/en/%' THEN 'example.net/en/'
+                               WHEN ('.' || host) LIKE '%.example.com' AND path LIKE '/de/%' THEN 'example.com/de/'
+                               WHEN ('.' || host) LIKE '%.org' AND path LIKE '/fr/%' THEN 'org/fr/'
+                               WHEN ('.' || host) LIKE '%.net' AND path LIKE '/%' THEN 'net/' END AS rule
+                FROM u
+            )
+            SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM r""",
+        "op13_manifest": """
+            WITH RECURSIVE b AS (
+                SELECT doc_id, source, lang, n_chars, text, coalesce('=' || source, '') AS grp,
+                       list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+                           lambda c, x: list_reduce(list_prepend(xor(c, x), range(8)), lambda v, k: xor(v >> 1, (v & 1) * 3988292384))) AS crc
+                FROM documents
+            ), t AS (
+                SELECT *, CASE WHEN crc IS NOT NULL AND xor(crc, 4294967295) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS shown FROM b
+            ), f AS (
+                SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                          || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head
+                FROM t
+            ), leaves AS (
+                SELECT doc_id, grp, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(shown) || ':' || shown, '-')) AS shown_leaf FROM f
+            ), placed AS (
+                SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY grp) AS n FROM leaves
+            ), up AS (
+                SELECT 0 AS level, grp, pos, n, leaf AS h FROM placed
+                UNION ALL
+                SELECT level + 1, grp, pos // 3, (max(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM up WHERE n > 1 GROUP BY level, grp, pos // 3
+            ), tops AS (
+                SELECT grp, h, row_number() OVER (ORDER BY grp) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1
+            ), over AS (
+                SELECT 0 AS level, pos, n, h FROM tops
+                UNION ALL
+                SELECT level + 1, pos // 3, (max(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM over WHERE n > 1 GROUP BY level, pos // 3
+            ), low AS (
+                SELECT p.grp, p.pos, u.level, coalesce(string_agg(u.h, '' ORDER BY u.pos) FILTER (u.pos < p.pos // (3 ** u.level)::BIGINT), '') AS before,
+                       coalesce(string_agg(u.h, '' ORDER BY u.pos) FILTER (u.pos > p.pos // (3 ** u.level)::BIGINT), '') AS after
+                FROM placed p JOIN up u ON u.grp = p.grp AND u.n > 1 AND u.pos // 3 = p.pos // (3 ** (u.level + 1))::BIGINT GROUP BY ALL
+            ), high AS (
+                SELECT p.grp, u.level, coalesce(string_agg(u.h, '' ORDER BY u.pos) FILTER (u.pos < p.pos // (3 ** u.level)::BIGINT), '') AS before,
+                       coalesce(string_agg(u.h, '' ORDER BY u.pos) FILTER (u.pos > p.pos // (3 ** u.level)::BIGINT), '') AS after
+                FROM tops p JOIN over u ON u.n > 1 AND u.pos // 3 = p.pos // (3 ** (u.level + 1))::BIGINT GROUP BY ALL
+            ), lows AS (SELECT grp, pos, list({b: before, a: after} ORDER BY level) AS path FROM low GROUP BY grp, pos
+            ), highs AS (SELECT grp, list({b: before, a: after} ORDER BY level) AS path FROM high GROUP BY grp
+            ), whole AS (
+                SELECT p.doc_id, p.leaf, p.shown_leaf, t.h AS subroot, (SELECT h FROM over WHERE n = 1) AS root,
+                       list_concat(coalesce(l.path, []), coalesce(h.path, [])) AS path
+                FROM placed p JOIN tops t ON t.grp = p.grp LEFT JOIN lows l ON l.grp = p.grp AND l.pos = p.pos LEFT JOIN highs h ON h.grp = p.grp
+            ), proved AS (
+                SELECT *, sha256(list_reduce(list_prepend('', list_transform(path, lambda x: x.b || x.a)), lambda s, x: s || x)) AS proof_sha256,
+                       list_reduce(list_prepend({b: shown_leaf, a: ''}, path), lambda s, x: {b: sha256(x.b || s.b || x.a), a: ''}).b AS folded_root
+                FROM whole
+            )
+            SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM proved""",
     }
