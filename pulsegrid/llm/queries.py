@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, language, linededup, manifest, neardup, packing, quality, sharding, topk, toxicity, urlfilter
+from . import bpe, collocation, fingerprint, language, linededup, manifest, neardup, packing, quality, sharding, topk, toxicity, urlfilter
 from .tables import fold, read
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -69,13 +69,17 @@ def op11_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op12_collocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(read(spark, sf_dir, "documents"), least=100, longest=5, top=2000)
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
     return manifest.verify(manifest.build(read(spark, sf_dir, "documents"), shown={"text": tampered}))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_linededup, op2_sharding, op3_packing, op4_toxicity, op5_language, op6_quality, op7_neardup, op8_bpe, op9_topk, op10_fingerprint, op11_urlfilter, op13_manifest)}
+    return {f.__name__: f for f in (op1_linededup, op2_sharding, op3_packing, op4_toxicity, op5_language, op6_quality, op7_neardup, op8_bpe, op9_topk, op10_fingerprint, op11_urlfilter, op12_collocation, op13_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -133,6 +137,38 @@ def oracle_sql() -> dict[str, str]:
                 FROM u
             )
             SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM r""",
+        "op12_collocation": r"""
+            WITH d AS (
+                SELECT coalesce(lang, 'und') AS lang, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+            ), p AS (
+                SELECT lang, list_filter(regexp_split_to_array(unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')), '[\x20\x09]+'), lambda w: w <> '') AS ws FROM d
+            ), i AS (
+                SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM p
+            ), k AS (
+                SELECT lang, ws, i, unnest(range(1, least(6, len(ws) - i + 2))) AS k FROM i
+            ), f AS (
+                SELECT lang, k, array_to_string(ws[i : i + k - 1], ' ') AS phrase, count(*) AS f FROM k GROUP BY ALL
+            ), t AS (
+                SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang
+            ), c AS (
+                SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k >= 2 AND f >= 100
+            ), o AS (
+                SELECT lang, phrase, max(f) AS over FROM (
+                    SELECT lang, f, k, i, j, array_to_string(ws[i : i + j - 1], ' ') AS phrase
+                    FROM (SELECT *, unnest(range(1, k - j + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS j FROM c)))
+                GROUP BY ALL
+            ), x AS (
+                SELECT c.*, unnest(range(1, c.k)) AS cut FROM c LEFT JOIN o ON c.lang = o.lang AND c.phrase = o.phrase WHERE o.over IS NULL OR 100 * o.over < 100 * c.f
+            ), s AS (
+                SELECT x.lang, x.phrase, x.f AS a, x.cut, l.f AS l, r.f AS r, t.n, ((1000::HUGEINT * x.f * t.n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+                FROM x JOIN t ON t.lang = x.lang
+                JOIN f l ON l.lang = x.lang AND l.phrase = array_to_string(x.ws[1 : x.cut], ' ') JOIN f r ON r.lang = x.lang AND r.phrase = array_to_string(x.ws[x.cut + 1 :], ' ')
+            ), b AS (
+                SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS z FROM s
+            ), q AS (
+                SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::INTEGER AS rank FROM b WHERE z = 1
+            )
+            SELECT lang, rank, phrase, a, l, r, n, score FROM q WHERE rank <= 2000""",
         "op13_manifest": """
             WITH RECURSIVE b AS (
                 SELECT doc_id, source, lang, n_chars, text, coalesce('=' || source, '') AS grp,
