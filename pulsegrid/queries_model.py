@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pulsegrid import contract
 from pulsegrid.config import Config
@@ -461,22 +462,65 @@ def stream_reset(spark, sf):
     return _plain_time(_drain(spark, live.scaled_rows(_events(spark, sf), ["v"], 10, {"v": 1.0}), "reset"))
 
 
-WITHOUT_REFS = {"hr_baseline_delta", "temp_baseline_delta", "hr_delta_x_still"}
 ENDED = "SELECT subject, w, NULL::INTEGER AS label, subject || ':' || w AS key FROM grid WHERE w * 5 + 60 <= (SELECT max(i) FROM wide) - 10"
+#: A wearer's means from the start to the end of each window, ten minutes at most.
+RUNNING = """running AS (SELECT k.subject, k.w, avg(hr) FILTER (hr > 20 AND hr < 220) AS bh, avg(temp) AS bt FROM kept k JOIN wide x ON x.subject = k.subject AND x.i < least(k.w * 5 + 60, 600) GROUP BY ALL)"""
+LIVE = {"hr_baseline_delta": "hr_mean - bh", "temp_baseline_delta": "temp_mean - bt", "hr_delta_x_still": "(hr_mean - bh) * (1 - motion_fraction)"}
+WINDOW_TIME = f"make_timestamp((({STREAM_START} + w * 5) * 1000000)::BIGINT) AS start"
 
 
-@query(f"""{table_sql(ENDED)} SELECT subject AS wearer, make_timestamp((({STREAM_START} + w * 5) * 1000000)::BIGINT) AS start,
-    {', '.join(f'NULL::DOUBLE AS {c}' if c in WITHOUT_REFS else R(c) for c in contract.FEATURE_NAMES)} FROM whole""")
-def stream_features(spark, sf):
-    """The recording of lineitem as one file stream of samples, a second apart; windows that the watermark has passed."""
+def _packets(spark, sf):
+    """lineitem as a recording: wearer, stream, ts, v, a sample a second, and its number i."""
+    return X.samples_1hz(spark, sf).select(F.col("subject").alias("wearer"), "stream", F.timestamp_seconds(F.col("sample_idx") + STREAM_START).alias("ts"), "v", F.col("sample_idx").alias("i"))
+
+
+def _streamed(spark, rows):
+    """Rows written to a folder and read as a file stream."""
     path = shared.folder(spark, "packets")
-    rows = X.samples_1hz(spark, sf).select(F.col("subject").alias("wearer"), "stream", F.timestamp_seconds(F.col("sample_idx") + STREAM_START).alias("ts"), "v")
     rows.write.parquet(path)
-    stream = spark.readStream.schema(rows.schema).parquet(path)
-    out = _drain(spark, live.features(stream, CFG), "features")
+    return spark.readStream.schema(rows.schema).parquet(path)
+
+
+@query(f"""{table_sql(ENDED)}, {RUNNING} SELECT subject AS wearer, {WINDOW_TIME}, {', '.join(R(LIVE.get(c, c), c) for c in contract.FEATURE_NAMES)} FROM whole JOIN running USING (subject, w)""")
+def stream_features(spark, sf):
+    """The recording of lineitem as one file stream of samples, a second apart; whole windows that the watermark has passed, with the running reference of each."""
+    out = _drain(spark, live.features(_streamed(spark, _packets(spark, sf).drop("i")), CFG, missing=0.0), "features")
     return rounded(out.withColumn("start", F.col("start").cast("timestamp_ntz")))
 
 
+@query(f"""WITH {REC}, steps AS (SELECT subject, unnest(range(0, max(i) // 5 + 1)) AS w FROM wide GROUP BY subject
+    ), kept AS (SELECT subject, w FROM steps WHERE w * 5 + 60 <= (SELECT max(i) FROM wide) - 10
+    ), lossy AS (SELECT subject, i, CASE WHEN i % 41 <> 7 THEN eda END AS eda, CASE WHEN i % 90 NOT BETWEEN 30 AND 36 OR subject::BIGINT % 3 > 0 THEN temp END AS temp, hr FROM wide
+    ), cells AS (SELECT k.subject, k.w, x.i, x.hr, x.temp, coalesce(eda, (lag(eda) OVER o + lead(eda) OVER o) / 2, lead(eda) OVER o, lag(eda) OVER o) AS eda, (eda IS NULL)::INTEGER AS e, (temp IS NULL)::INTEGER AS t
+        FROM kept k JOIN lossy x ON x.subject = k.subject AND x.i >= k.w * 5 AND x.i < k.w * 5 + 60 WINDOW o AS (PARTITION BY k.subject, k.w ORDER BY x.i)
+    ), stat AS (SELECT subject, w, (60 - count(*) + greatest(sum(e), sum(t))) / 60.0 AS missing, sum(t) > sum(e) AS warm, avg(hr) AS hr, avg(temp) AS temp, (sum(eda) + (60 - count(*)) * arg_max(eda, i)) / 60 AS eda FROM cells GROUP BY subject, w
+    ), running AS (SELECT k.subject, k.w, avg(hr) FILTER (hr > 20 AND hr < 220) AS bh, avg(temp) AS bt FROM kept k JOIN lossy x ON x.subject = k.subject AND x.i < least(k.w * 5 + 60, 600) GROUP BY ALL)
+    SELECT subject AS wearer, {WINDOW_TIME}, {R('missing')}, CASE WHEN missing > 0.05 THEN CASE WHEN warm THEN 'temp' ELSE 'eda' END END AS refused, {R('bh', 'baseline_hr')}, {R('bt', 'baseline_temp')},
+        {', '.join(R(f'CASE WHEN missing <= 0.05 THEN {c} END', c) for c in ('hr', 'temp', 'eda'))} FROM stat JOIN running USING (subject, w)""")
+def stream_slots(spark, sf):
+    """The same recording as a worn radio link delivers it: each 41st sample of skin conductance lost, seven seconds of temperature in ninety lost of
+    every third wearer, each tenth sample sent twice, all times up to 0.4 s off; closed windows, those refused among them."""
+    rows = _packets(spark, sf)
+    lost = ((F.col("stream") == "eda") & (F.col("i") % 41 == 7)) | ((F.col("stream") == "temp") & (F.col("i") % 90).between(30, 36) & (F.col("wearer").cast("long") % 3 == 0))
+    rows = rows.where(~lost).unionByName(rows.where(~lost & (F.col("i") % 10 == 3)))
+    off = F.when((F.col("i") > 0) & (F.col("i") < F.max("i").over(Window.partitionBy("wearer"))), F.col("i") * 37 % 800 - 400).otherwise(0)
+    rows = rows.withColumn("ts", F.timestamp_micros(F.unix_micros("ts") + off * 1000)).drop("i")
+    out = _drain(spark, live.closed_windows(_streamed(spark, rows), CFG), "slots")
+    means = [F.expr(f"aggregate(filter({c}, x -> x is not null), 0D, (s, x) -> s + x) / size(filter({c}, x -> x is not null))").alias(c) for c in ("hr", "temp", "eda")]
+    return rounded(out.select("wearer", F.col("start").cast("timestamp_ntz").alias("start"), "missing", "refused", "baseline_hr", "baseline_temp", *means))
+
+
+@query("""WITH r AS (SELECT user_id::VARCHAR AS wearer, ts::TIMESTAMP AS ts, value AS v, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, value) > 86400000000 AS apart FROM events WHERE ts <= (SELECT max(ts) - INTERVAL 10 SECOND FROM events)
+    ), s AS (SELECT *, count(*) FILTER (apart) OVER (PARTITION BY wearer ORDER BY ts, v ROWS UNBOUNDED PRECEDING) AS part FROM r
+    ), k AS (SELECT *, row_number() OVER (PARTITION BY wearer, part ORDER BY ts, v) AS k FROM s
+    ), f AS (SELECT wearer, part, quantile_cont(v, 0.5) AS c, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS d FROM k WHERE k <= 5 GROUP BY wearer, part
+    ) SELECT wearer, ts, """ + R("coalesce(greatest(least((v - c) / CASE WHEN d > 0 THEN d ELSE 1.0 END, 20.0), -20.0), 0.0)", "v") + " FROM k JOIN f USING (wearer, part) WHERE k > 5")
+def stream_wear_gap(spark, sf):
+    """More than a day without an event clears a wearer's reference of five; rows come out once the watermark has passed them."""
+    rows = _events(spark, sf).withColumn("reset", F.lit(False))
+    return _plain_time(_drain(spark, live.scaled_rows(rows, ["v"], 5, {"v": 1.0}, gap_s=86_400.0, delay="10 seconds"), "gap"))
+
+
 @query()
 def stream_states(spark, sf):
     """A model scores the feature table as a stream: states after each wearer's warm-up, beside a current value (the stand-in of the heart rate)."""
