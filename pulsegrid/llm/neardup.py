@@ -238,22 +238,99 @@ def _bucket_links(p: Params):
     return _links(decide)
 
 
+class Overlaps:
+    """The shingles of a group of texts, and for pairs of them a bound of the similarity that is exact where no shingle repeats in either."""
+
+    COLUMNS, FEW = 4096, 64  # dense columns at once; texts up to which a shingle's pairs are listed
+
+    def __init__(self, texts: list[str], k: int):
+        rows, elements, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for lo, _, buf, offs in textvec.blocks(pa.array(texts, pa.large_string())):
+            row, element, count = shingles(buf, offs, k)
+            rows.append(row + lo)
+            elements.append(element)
+            counts.append(count)
+        self.n, self.row, self.count = len(texts), np.concatenate(rows), np.concatenate(counts).astype(np.float64)
+        self.begin = np.searchsorted(self.row, np.arange(self.n + 1))
+        self.element = np.unique(np.concatenate(elements), return_inverse=True)[1]
+        self.total = np.bincount(self.row, weights=self.count, minlength=self.n)
+        self.repeats = np.bincount(self.row[self.count > 1], minlength=self.n) > 0
+
+    def of(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        part = slice(self.begin[i], self.begin[i + 1])
+        return self.element[part], self.count[part]
+
+    def shared(self, which: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Matrices which x to: shared shingles, and the sums of either side's counts of them."""
+        place = np.full((2, self.n), -1)
+        place[0, which], place[1, to] = np.arange(len(which)), np.arange(len(to))
+        sides = [np.flatnonzero(p[self.row] >= 0) for p in place]
+        df = np.stack([np.bincount(self.element[s], minlength=self.element.max(initial=0) + 1) for s in sides])
+        met = (df > 0).all(axis=0)
+        out = np.zeros((3, len(which), len(to)))
+        few = met & (df.max(axis=0) <= self.FEW)
+        a, b = (s[few[self.element[s]]] for s in sides)
+        b = b[np.argsort(self.element[b], kind="stable")]
+        low, high = (np.searchsorted(self.element[b], self.element[a], side) for side in ("left", "right"))
+        for lo in range(0, len(a), 1 << 15):  # at most FEW pairs each
+            some = slice(lo, lo + (1 << 15))
+            left, right = np.repeat(a[some], (high - low)[some]), b[spans(low[some], (high - low)[some])]
+            cell = place[0, self.row[left]] * len(to) + place[1, self.row[right]]
+            for k, weight in enumerate((None, self.count[left], self.count[right])):
+                out[k] += np.bincount(cell, weights=weight, minlength=out[k].size).reshape(out[k].shape)
+        many = np.flatnonzero(met & ~few)
+        a, b = (s[np.isin(self.element[s], many)] for s in sides)
+        weighted = bool((self.count[a] > 1).any() or (self.count[b] > 1).any())
+        for lo in range(0, len(many), self.COLUMNS):
+            chunk = many[lo : lo + self.COLUMNS]
+            dense = []
+            for p, s in zip(place, (a, b)):
+                s = s[(self.element[s] >= chunk[0]) & (self.element[s] <= chunk[-1])]
+                at = p[self.row[s]], np.searchsorted(chunk, self.element[s])
+                ones = np.zeros((int(p.max()) + 1, len(chunk)), np.float64 if weighted else np.float32)
+                counts = np.zeros_like(ones) if weighted else None
+                ones[at] = 1
+                if weighted:
+                    counts[at] = self.count[s]
+                dense.append((ones, counts))
+            (one_a, n_a), (one_b, n_b) = dense
+            both = one_a @ one_b.T
+            out[0] += both
+            out[1] += n_a @ one_b.T if weighted else both
+            out[2] += one_a @ n_b.T if weighted else both
+        return out[0], out[1], out[2]
+
+    def bounds(self, which: np.ndarray, to: np.ndarray) -> np.ndarray:
+        """At least the probability Jaccard similarity of every pair.
+
+        A shared i adds at most max(x[i], y[i]) / sum over j of max(x[j], y[j]); the maximum is at most x[i] + y[i] - 1.
+        """
+        common, x, y = self.shared(which, to)
+        most = x + y - common
+        return most / np.maximum(self.total[which][:, None] - x + self.total[to][None, :] - y + most, 1e-9)
+
+
+def spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0] .. start[0] + size[0] - 1, start[1] .. and so on."""
+    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
 def _exact_links(p: Params):
-    """Joins by exact similarity; the payload is a text."""
-    last: list = [None, None, None]  # the group whose shingles are at hand
+    """Joins by exact similarity; the payload is a text.  Pairs are ruled out by the bound, whole blocks at a time."""
+    last: list = [None, None]  # the group whose shingles are at hand
 
     def decide(group: list[tuple], forest: Forest, which: np.ndarray, to: np.ndarray, out: list[tuple]) -> None:
         if last[0] is not group:
-            sets, sigs = [], []
-            for lo, hi, buf, offs in textvec.blocks(pa.array([r[5] for r in group], pa.large_string())):
-                row, element, count = shingles(buf, offs, p.words)
-                cut = np.searchsorted(row, np.arange(1, hi - lo))
-                sets += zip(np.split(element, cut), np.split(count, cut))
-                sigs.append(signatures(row, element, count, hi - lo, p.registers))
-            last[:] = group, sets, np.concatenate(sigs)
-        _, sets, sig = last
-        for i, j in likely_pairs(sig, which, to, p.similarity - p.slack):
-            if group[i][4] != group[j][4] and forest.root(i) != forest.root(j) and probability_jaccard(sets[i], sets[j]) >= p.similarity:
+            last[:] = group, Overlaps([r[5] for r in group], p.words)
+        sets = last[1]
+        others = np.flatnonzero(to)
+        near = sets.bounds(which, others) >= p.similarity - 1e-12
+        near &= ~(np.isin(others, which)[None, :] & (others[None, :] <= which[:, None]))  # each unordered pair once
+        for a, b in np.argwhere(near).tolist():
+            i, j = int(which[a]), int(others[b])
+            if group[i][4] == group[j][4] or forest.root(i) == forest.root(j):
+                continue
+            if not (sets.repeats[i] or sets.repeats[j]) or probability_jaccard(sets.of(i), sets.of(j)) >= p.similarity:
                 forest.join(i, j)
                 out.append((group[i][4], group[j][4], False))
 

@@ -103,3 +103,59 @@ def test_components_of_chains_and_hubs(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7), (300, 299), (299, 300)]
     out = {r["id"]: r["label"] for r in components.components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "t")).collect()}
     assert all(out[i] == 0 for i in range(41)) and all(out[i] == 100 for i in range(100, 130)) and out[300] == out[299] == 299
+
+
+def templates(n, words=400, changed=6, seed=5):
+    rng = np.random.default_rng(seed)
+    base = [f"w{k}" for k in rng.integers(0, 3000, words)]
+    out = []
+    for i in range(n):
+        text = list(base)
+        for at in rng.choice(words, changed, replace=False):
+            text[at] = f"n{rng.integers(0, 10**9)}"
+        out.append(" ".join(text))
+    return out
+
+
+def test_bounds_are_never_below_the_similarity_and_exact_without_repeats():
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, hi, rng.integers(6, 60))) for hi in (3, 8, 200) for _ in range(12)] + templates(12) + ["", "one", "one two"]
+    for few in (0, 2, 64):
+        neardup.Overlaps.FEW, neardup.Overlaps.COLUMNS = few, 50
+        sets = neardup.Overlaps(texts, 5)
+        which, to = np.array([0, 3, 30, 37, 40]), np.arange(2, len(texts))
+        got = sets.bounds(which, to)
+        for a, i in enumerate(which):
+            for b, j in enumerate(to):
+                want = neardup.probability_jaccard(weighted(texts[i]), weighted(texts[j])) if texts[i] and texts[j] else 0.0
+                assert got[a, b] >= want - 1e-9
+                if not (sets.repeats[i] or sets.repeats[j]):
+                    assert got[a, b] == pytest.approx(want)
+    neardup.Overlaps.FEW, neardup.Overlaps.COLUMNS = 64, 4096
+
+
+def test_texts_of_one_template_are_ruled_out_by_blocks(monkeypatch):
+    calls = []
+    monkeypatch.setattr(neardup, "probability_jaccard", lambda a, b: calls.append(1) or 0.0)
+    group = [(1, 0, -1, neardup.BLOCK, k, t) for k, t in enumerate(templates(512, changed=10))]
+    judged = neardup._exact_links(neardup.Params())
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*group)], names=["key", "i", "j", "role", "id", "text"])
+    assert not [r for b in judged([batch]) for r in b.to_pylist()] and not calls
+
+
+def test_a_family_of_one_template_ends_soon_with_all_links(spark):
+    texts = templates(3000, changed=7) + templates(40, changed=1, seed=6)
+    out = neardup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4))
+    got = {r["doc_id"]: r["class_id"] for r in out.collect()}
+    grams = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    place = {g: k for k, g in enumerate(set().union(*grams))}
+    seen = np.zeros((len(texts), len(place)), np.int8)
+    for row, g in zip(seen, grams):
+        row[[place[x] for x in g]] = 1
+    seen = seen[:, seen.sum(axis=0) > 1].astype(np.float32)
+    size, both = np.array([len(g) for g in grams]), seen @ seen.T
+    near = both / (size[:, None] + size[None, :] - both) >= 0.8
+    label = np.arange(len(texts))
+    while (new := np.where(near, label[None, :], len(texts)).min(axis=1)).tolist() != label.tolist():
+        label = new
+    assert got == dict(enumerate(label.tolist())) and len(set(label.tolist())) > 1000
