@@ -7,7 +7,8 @@ out of its node (the edges that begin with it) plus the pieces that end with it.
 
 Two scans of the texts.  The first counts words, and pairs by hash: pairs of fewer than ``least`` occurrences can be in no phrase
 sought, so the second cuts pieces there, and only what is left becomes edges.  Which pairs to keep is a bitmap of a fixed
-2**27 bits; where two pairs share a bit both are kept, which costs work but changes no count.
+2**27 bits; where two pairs share a bit both are kept, which costs work but changes no count.  A task adds up what it counts and hands it on
+as Arrow blocks, one for each part of the hash range; a part is merged where its blocks meet.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,6 +34,7 @@ FOLD = np.arange(256, dtype=np.uint8)
 FOLD[ord("A") : ord("Z") + 1] += 32
 BLOCK_BYTES = 1 << 22
 HELD_PAIRS = 1 << 21
+HELD_GRAMS = 1 << 20
 FILTER_BITS = 27
 SEGMENT = 256  # edges of a compacted path in one row
 
@@ -111,14 +114,65 @@ def added(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[first], np.add.reduceat(n, first)
 
 
-def counting(slice_bits: int) -> Callable:
-    """For mapInArrow: rows (lang, word, n), and rows (slice, pairs) with hashed pairs of a part of the hash range."""
+class Tally:
+    """Counts of a task by (lang, gram), handed on as Arrow blocks by part of the hash range."""
+
+    def __init__(self, parts: int):
+        self.parts, self.held, self.rows = parts, [], 0
+
+    def add(self, lang: pa.Array, gram: pa.Array, n: np.ndarray) -> None:
+        self.held.append(pa.table({"lang": lang.cast(pa.string()), "gram": gram.cast(pa.string()), "n": pa.array(n, pa.int64())}))
+        self.rows += len(n)
+        if self.rows > HELD_GRAMS:
+            self.held = [summed(self.held)]
+            self.rows = len(self.held[0])
+
+    def full(self) -> bool:
+        return self.rows > HELD_GRAMS // 2
+
+    def blocks(self) -> tuple[pa.Array, pa.Array]:
+        """(part, block) of all that is held, which is then forgotten."""
+        table = summed(self.held).combine_chunks()
+        part = (hashes(table.column("gram").chunk(0)) % np.uint64(self.parts)).astype(np.int64) if len(table) else np.zeros(0, np.int64)
+        order = np.argsort(part, kind="stable")
+        table, (found, at) = table.take(pa.array(order)), np.unique(part[order], return_index=True)
+        self.held, self.rows = [], 0
+        return pa.array(found, pa.int32()), pa.array([packed(table.slice(a, b - a)) for a, b in zip(at, [*at[1:], len(table)])], pa.binary())
+
+
+def summed(tables: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(tables).group_by(["lang", "gram"]).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select(["lang", "gram", "n"])
+
+
+def packed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table.combine_chunks())
+    return sink.getvalue().to_pybytes()
+
+
+def merged(key: tuple, table: pa.Table) -> pa.Table:
+    """For applyInArrow by part: (lang, gram, words, n) of its blocks."""
+    out = summed([pa.ipc.open_stream(b.as_buffer()).read_all() for b in table.column("block").combine_chunks()])
+    words = pc.add(pc.count_substring(out.column("gram"), " "), 1).cast(pa.int32())
+    return pa.table({"lang": out.column("lang"), "gram": out.column("gram"), "words": words, "n": out.column("n")})
+
+
+MERGED = "lang string, gram string, words int, n long"
+
+
+def counting(slice_bits: int, parts: int) -> Callable:
+    """For mapInArrow: rows (part, block) with counted words, and rows (slice, pairs) with hashed pairs of a part of the hash range."""
 
     def rows(height: int, **cols) -> pa.RecordBatch:
-        kinds = {"lang": pa.string(), "word": pa.string(), "n": pa.int64(), "slice": pa.int32(), "pairs": pa.binary()}
+        kinds = {"part": pa.int32(), "block": pa.binary(), "slice": pa.int32(), "pairs": pa.binary()}
         return pa.RecordBatch.from_arrays([cols.get(c, pa.nulls(height, t)) for c, t in kinds.items()], names=list(kinds))
 
-    def packed(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    def words(tally: Tally) -> pa.RecordBatch:
+        part, block = tally.blocks()
+        return rows(len(part), part=part, block=block)
+
+    def pairs(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         part = (key >> np.uint64(64 - slice_bits)).astype(np.int64)
         rest = ((key << np.uint64(slice_bits)) >> np.uint64(32)).astype("<u4")
         n = np.minimum(n, 2**32 - 1).astype("<u4")
@@ -127,11 +181,11 @@ def counting(slice_bits: int) -> Callable:
         return rows(len(found), slice=pa.array(found, pa.int32()), pairs=pa.array([rest[a:b].tobytes() + n[a:b].tobytes() for a, b in zip(at, ends)], pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, tally = [], 0, Tally(parts)
         for batch in batches:
             for block, lang, langs in blocks(batch):
                 key, n = np.unique(lang * len(block.names) + block.ids, return_counts=True)
-                yield rows(len(key), lang=langs.take(pa.array(key // len(block.names))), word=block.names.take(pa.array(key % len(block.names))).cast(pa.string()), n=pa.array(n, pa.int64()))
+                tally.add(langs.take(pa.array(key // len(block.names))), block.names.take(pa.array(key % len(block.names))), n)
                 _, pair = pair_hashes(block, lang, langs)
                 held.append(added(pair, np.ones(len(pair), np.int64)))
                 size += len(held[-1][0])
@@ -139,10 +193,14 @@ def counting(slice_bits: int) -> Callable:
                     held = [added(*map(np.concatenate, zip(*held)))]
                     size = len(held[0][0])
                     if size > HELD_PAIRS // 2:
-                        yield packed(*held[0])
+                        yield pairs(*held[0])
                         held, size = [], 0
+                if tally.full():
+                    yield words(tally)
         if size:
-            yield packed(*added(*map(np.concatenate, zip(*held))))
+            yield pairs(*added(*map(np.concatenate, zip(*held))))
+        if tally.rows:
+            yield words(tally)
 
     return run
 
@@ -165,11 +223,11 @@ def frequent(least: int, slice_bits: int) -> Callable:
     return run
 
 
-def edges(kept, longest: int) -> Callable:
-    """For mapInArrow: (lang, gram, words, n), the longest gram of each position after pieces are cut at pairs that ``kept`` lacks."""
+def edges(kept, longest: int, parts: int) -> Callable:
+    """For mapInArrow: rows (part, block) with counts of the longest gram of each position after pieces are cut at pairs that ``kept`` lacks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.frombuffer(kept.value, np.uint8)
+        bitmap, tally = np.frombuffer(kept.value, np.uint8), Tally(parts)
         for batch in batches:
             for block, lang, langs in blocks(batch):
                 first, pair = pair_hashes(block, lang, langs)
@@ -188,7 +246,11 @@ def edges(kept, longest: int) -> Callable:
                     key = key * (len(block.names) + 1) + np.where(words > k, ids[at + k], 0)
                     _, where, key, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
                 at, words = at[where], words[where]
-                yield pa.RecordBatch.from_arrays([langs.take(pa.array(lang[at])), block.grams(at, words), pa.array(words, pa.int32()), pa.array(n)], names=["lang", "gram", "words", "n"])
+                tally.add(langs.take(pa.array(lang[at])), block.grams(at, words), n)
+                if tally.full():
+                    yield pa.RecordBatch.from_arrays(list(tally.blocks()), names=["part", "block"])
+        if tally.rows:
+            yield pa.RecordBatch.from_arrays(list(tally.blocks()), names=["part", "block"])
 
     return run
 
@@ -236,17 +298,18 @@ class Graph:
         small_batches(spark)
         scratch = Scratch(spark, "phrases")
         texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text")).where(F.length("text") > 0)
-        bits = min(16, max(6, int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length()))
-        counted = scratch.save(texts.mapInArrow(counting(bits), "lang string, word string, n long, slice int, pairs binary"), "counted")
-        words = counted.where("word is not null").groupBy("lang", F.col("word").alias("gram")).agg(F.sum("n").alias("n"))
+        shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        bits, parts = min(16, max(6, shuffles.bit_length())), 4 * shuffles
+        counted = scratch.save(texts.mapInArrow(counting(bits, parts), "part int, block binary, slice int, pairs binary"), "counted")
+        words = counted.where("part is not null").select("part", "block").groupBy("part").applyInArrow(merged, MERGED).drop("words")
         words = scratch.save(words, "words")
         self.totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
-        masks = counted.where("slice is not null").groupBy("slice").applyInArrow(frequent(least, bits), "slice int, bits binary")
+        masks = counted.where("slice is not null").select("slice", "pairs").groupBy("slice").applyInArrow(frequent(least, bits), "slice int, bits binary")
         empty = bytes((1 << FILTER_BITS - bits) // 8)
         found = {r["slice"]: bytes(r["bits"]) for r in masks.collect()}  # 2**27 bits together, whatever the input
         kept = spark.sparkContext.broadcast(b"".join(found.get(k, empty) for k in range(1 << bits)))
-        grams = texts.mapInArrow(edges(kept, longest), "lang string, gram string, words int, n long")
-        grams = scratch.save(grams.groupBy("words", "lang", "gram").agg(F.sum("n").alias("n")), "grams")
+        grams = texts.mapInArrow(edges(kept, longest, parts), "part int, block binary").groupBy("part").applyInArrow(merged, MERGED)
+        grams = scratch.save(grams, "grams")
         scratch.drop(counted)
         whole = grams.where(F.col("words") == longest).drop("words")
         self.paths = scratch.save(compacted(whole.where(F.col("n") >= least), longest, scratch), "paths")

@@ -82,9 +82,11 @@ def test_pairs_that_share_a_bit_change_no_count(spark, monkeypatch):
         value = bytes([255]) * (1 << collocation.FILTER_BITS - 3)
 
     counts = Counter()
-    for out in collocation.edges(All, 5)([batch]):
-        for g, k, n in zip(out.column("gram").to_pylist(), out.column("words").to_pylist(), out.column("n").to_pylist()):
-            for j in range(2, k + 1):
-                counts[" ".join(g.split(" ")[:j])] += n
+    for out in collocation.edges(All, 5, 7)([batch]):
+        for part in set(out.column("part").to_pylist()):
+            found = collocation.merged((part,), pa.table(out).filter(pa.compute.equal(pa.table(out).column("part"), part)))
+            for g, k, n in zip(*(found.column(c).to_pylist() for c in ("gram", "words", "n"))):
+                for j in range(2, k + 1):
+                    counts[" ".join(g.split(" ")[:j])] += n
     want = Counter(" ".join(ws[i : i + k]) for _, ws in plain_pieces(rows) for i in range(len(ws)) for k in range(2, 6) if i + k <= len(ws))
     assert counts == want
