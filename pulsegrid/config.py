@@ -10,6 +10,7 @@ class Config:
     win_s: float = 60.0
     step_s: float = 5.0
     short_s: float = 15.0
+    chunk_s: float = 3600.0  # a recording is windowed in stretches of this length, apart from each other
     purity: float = 0.9
     keep_labels: tuple[int, ...] = (1, 2, 3)
     fs: dict[str, float] = field(default_factory=lambda: {"acc_x": 32.0, "acc_y": 32.0, "acc_z": 32.0, "bvp": 64.0, "eda": 4.0, "temp": 4.0, "hr": 1.0, "label": 700.0})

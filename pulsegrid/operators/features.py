@@ -98,10 +98,10 @@ def rollup_columns(blocks: list[Column], names: list[str]) -> dict[str, Column]:
     return out
 
 
-def rollup(blocks: DataFrame, names: list[str], cfg: Config) -> DataFrame:
+def rollup(blocks: DataFrame, names: list[str], cfg: Config, by: tuple[str, ...] = ("subject",)) -> DataFrame:
     """Each row's features over the blocks that tile the window which begins there: its own and those a block length on."""
     step = cfg.panes(cfg.short_s)
-    at = Window.partitionBy("subject").orderBy("w")
+    at = Window.partitionBy(*by).orderBy("w")
     starts = range(0, cfg.panes(cfg.win_s), step)
     packed = blocks.withColumns({f"_b{k}": F.first(F.struct(*names)).over(at.rangeBetween(k, k)) for k in starts}).drop(*names)
     return packed.withColumns(rollup_columns([F.col(f"_b{k}") for k in starts], names)).drop(*[f"_b{k}" for k in starts])
@@ -120,20 +120,21 @@ def to_vector(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 def build_table(samples: DataFrame, labels: DataFrame, cfg: Config, limit: int | None = None) -> DataFrame:
     """The feature table: 42 features, subject, label, label_name, t_start, of the accepted windows.
 
-    Samples are exchanged once, by subject; labels once, as counts per step.  Labels are judged before the costly
-    helpers run, and every 15 s block is computed once for all windows that hold it.
+    Samples are exchanged once, by subject and chunk; labels as counts per step.  Labels are judged before the costly
+    helpers run, and every 15 s block is computed once for all windows of a chunk that hold it.
     """
-    cells = windows.panes(samples.repartition("subject"), cfg)
-    arrays = windows.window_arrays(cells, cfg)
-    refs = windows.baseline_refs(samples, cfg)
+    by = ("subject", "chunk")
+    cells = windows.panes(windows.dealt(samples, cfg), cfg, by)
+    arrays = windows.window_arrays(cells, cfg, by=by).withColumn("baseline_hr", F.lit(0.0))
     lengths = timebase.durations(samples, labels, cfg)
     accepted = windows.majority_label(labels, windows.grid(lengths, cfg), cfg).where("label is not null")
     if limit is not None:
         accepted = windows.limit_accepted(accepted, limit)
-    accepted = accepted.select("subject", "w", "label", "t_start")
-    blocks = imu(hr(arrays.join(refs, "subject", "left"), cfg), cfg).drop("hr", "acc_x", "acc_y", "acc_z")
-    rolled = rollup(blocks, contract.HR + contract.IMU, cfg)
-    out = cross(temp(eda(rolled.join(accepted, ["subject", "w"]), cfg), cfg))
-    out = windows.attach_meta(out)
+    accepted = accepted.select("subject", windows.chunk_of(F.col("w"), cfg).alias("chunk"), "w", "label", "t_start").join(windows.baseline_refs(samples, cfg), "subject", "left")
+    blocks = imu(hr(arrays, cfg), cfg).drop("hr", "acc_x", "acc_y", "acc_z", "baseline_hr")
+    rolled = windows.own(rollup(blocks, contract.HR + contract.IMU, cfg, by), cfg)
+    both = rolled.join(accepted, [*by, "w"])
+    both = both.withColumn("hr_baseline_delta", F.col("hr_baseline_delta") - F.col("baseline_hr"))  # a mean of differences to one number
+    out = windows.attach_meta(cross(temp(eda(both, cfg), cfg)))
     contract.exact([c for c in out.columns if c in contract.FEATURE_NAMES])
     return out.select(*contract.FEATURE_NAMES, *contract.META)

@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from pulsegrid.config import Config
 from pulsegrid.contract import TIME
 from pulsegrid.functions.arrays import finite
+from pulsegrid.operators import quantiles
+from pulsegrid.sources import shared
 
 STRESS = 2
 
@@ -25,11 +27,10 @@ def _quartiles(c: str, when: Column | None = None) -> Column:
     return F.percentile(v if when is None else F.when(when, v), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
 
 
-def cohort_iqr(df: DataFrame, cols: list[str], approx: bool = False) -> DataFrame:
-    """(feature, iqr) over all rows, one task per feature; ``approx`` trades exactness for bounded buffers."""
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), finite(F.col(c).cast("double")).alias("v")) for c in cols])).alias("x")).select("x.*")
-    q = F.percentile_approx("v", [0.25, 0.75], 100_000) if approx else F.percentile("v", F.array(F.lit(0.25), F.lit(0.75)))
-    return long.groupBy("feature").agg(q.alias("q")).select("feature", (F.col("q")[1] - F.col("q")[0]).alias("iqr"))
+def cohort_iqr(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(feature, iqr) over all rows, exact."""
+    found = quantiles.quantiles(quantiles.cells(df, cols), ["feature"], [0.25, 0.75], quantiles.most_rows(df))
+    return found.select("feature", (F.col("q")[1] - F.col("q")[0]).alias("iqr"))
 
 
 def ranked(df: DataFrame) -> DataFrame:
@@ -47,6 +48,8 @@ def centre_scale(df: DataFrame, cols: list[str], n_ref: int | None, cohort: dict
     The reference is the first ``n_ref`` rows by time, or all if None.  The second rung is the spread of the whole
     recording, or with wider='reference' that of the reference again (as a live scorer has it).
     """
+    if (n_ref is None or wider == "subject") and quantiles.most_rows(df, "subject") > quantiles.LIMIT:
+        return _centre_scale_large(df, cols, n_ref, cohort)
     rows = ranked(df) if n_ref is not None else df
     ref = F.col("_rank") <= n_ref if n_ref is not None else None
     aggs = [(F.count_if(ref) if ref is not None else F.count("*")).alias("n_ref")]
@@ -63,6 +66,20 @@ def centre_scale(df: DataFrame, cols: list[str], n_ref: int | None, cohort: dict
     return got.select(*out)
 
 
+def _centre_scale_large(df: DataFrame, cols: list[str], n_ref: int | None, cohort: dict[str, float]) -> DataFrame:
+    """The same where a recording is too long for one buffer: its quartiles by selection, those of the reference from its n_ref rows."""
+    long = quantiles.quantiles(quantiles.cells(df, cols, ["subject"]), ["subject", "feature"], [0.25, 0.5, 0.75])
+    whole = long.groupBy("subject").agg(*[F.max(F.when(F.col("feature") == c, F.col("q"))).alias(f"{c}|s") for c in cols])
+    if n_ref is None:
+        got = whole.join(df.groupBy("subject").agg(F.count("*").alias("n_ref")), "subject").withColumns({f"{c}|r": F.col(f"`{c}|s`") for c in cols})
+    else:
+        early = ranked(df).where(F.col("_rank") <= n_ref)
+        got = early.groupBy("subject").agg(F.count("*").alias("n_ref"), *[_quartiles(c).alias(f"{c}|r") for c in cols]).join(whole, "subject")
+    iqr = lambda c, k: F.col(f"`{c}|{k}`")[2] - F.col(f"`{c}|{k}`")[0]
+    out = [(F.col(f"`{c}|r`")[1].alias(f"{c}_centre"), divisor(iqr(c, "r"), iqr(c, "s"), F.lit(cohort.get(c)).cast("double")).alias(f"{c}_scale")) for c in cols]
+    return got.select("subject", "n_ref", *[x for pair in out for x in pair])
+
+
 def zscores(df: DataFrame, cols: list[str], clip: float) -> DataFrame:
     """Scaled, clipped, missing as 0; needs the columns of centre_scale."""
     out = {}
@@ -72,11 +89,10 @@ def zscores(df: DataFrame, cols: list[str], clip: float) -> DataFrame:
     return df.withColumns(out).drop("n_ref", *[f"{c}_{k}" for c in cols for k in ("centre", "scale")])
 
 
-def standardise(df: DataFrame, mode: str, cols: list[str], n_ref: int = 100, clip: float = 20.0, min_ref: int = 5, approx: bool = False) -> DataFrame:
+def standardise(df: DataFrame, mode: str, cols: list[str], n_ref: int = 100, clip: float = 20.0, min_ref: int = 5) -> DataFrame:
     """baseline: by the first n_ref rows of a subject; subject: by all of them; none: as it is.  Time is never scaled.
 
-    A subject with fewer than ``min_ref`` reference rows is an error in baseline mode.  ``approx`` bounds the buffers of the
-    cohort's quartiles, which otherwise hold the different values of a feature in one task.
+    A subject with fewer than ``min_ref`` reference rows is an error in baseline mode.
     """
     if mode == "none":
         return df
@@ -85,7 +101,7 @@ def standardise(df: DataFrame, mode: str, cols: list[str], n_ref: int = 100, cli
     cols = [c for c in cols if c != TIME]
     if not cols:
         return df
-    cohort = {r["feature"]: r["iqr"] for r in cohort_iqr(df, cols, approx).collect()}  # one number per feature
+    cohort = {r["feature"]: r["iqr"] for r in cohort_iqr(df, cols).collect()}  # one number per feature
     refs = centre_scale(df, cols, n_ref if mode == "baseline" else None, cohort)
     if mode == "baseline":
         few = F.col("n_ref") < min_ref
@@ -96,15 +112,20 @@ def standardise(df: DataFrame, mode: str, cols: list[str], n_ref: int = 100, cli
 
 def cell_extremes(scaled: DataFrame, cols: list[str]) -> DataFrame:
     """(subject, p99_abs, max_abs, frac_gt_10) of |z| over all cells."""
-    cells = scaled.select("subject", F.explode(F.array(*cols)).alias("z"))
-    a = F.abs("z")
-    return cells.groupBy("subject").agg(F.percentile(a, 0.99).alias("p99_abs"), F.max(a).alias("max_abs"), F.avg((a > 10).cast("int")).alias("frac_gt_10"))
+    cells = scaled.select("subject", F.explode(F.array(*cols)).alias("z")).select("subject", F.abs("z").alias("v"))
+    rest = [F.max("v").alias("max_abs"), F.avg((F.col("v") > 10).cast("int")).alias("frac_gt_10")]
+    most = quantiles.most_rows(scaled, "subject") * len(cols)
+    if most <= quantiles.LIMIT:
+        return cells.groupBy("subject").agg(F.percentile("v", 0.99).alias("p99_abs"), *rest)
+    high = quantiles.quantiles(cells, ["subject"], [0.99], most).select("subject", F.col("q")[0].alias("p99_abs"))
+    return high.join(cells.groupBy("subject").agg(*rest), "subject")
 
 
 def with_outlier(df: DataFrame, factor: float = 5.0) -> DataFrame:
     """Subjects whose greatest |z| is over ``factor`` times the median subject's."""
-    median = df.agg(F.percentile("max_abs", 0.5).alias("_median"))
-    return df.join(F.broadcast(median)).withColumn("outlier", F.col("max_abs") > factor * F.col("_median")).drop("_median")
+    df = shared.written(df, "extremes")  # a row a subject, read for the median and for the result
+    median = quantiles.of_table(df, {"max_abs": F.col("max_abs")}, 0.5)["max_abs"]
+    return df.withColumn("outlier", F.col("max_abs") > factor * F.lit(median).cast("double"))
 
 
 def scale_report(raw: DataFrame, scaled: DataFrame, cols: list[str]) -> DataFrame:

@@ -66,3 +66,34 @@ def label_distribution(labels: DataFrame, keep: tuple[int, ...] = (1, 2, 3)) ->
     """Share of each kept label among the kept samples of a subject."""
     counts = labels.where(F.col("label").isin(*keep)).groupBy("subject", "label").agg(F.count("*").alias("n"))
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("subject")))
+
+
+def nearest_in_time(left: DataFrame, right: DataFrame, tolerance_s: float, take: list[str], side: str = "nearest", chunk_s: float = 3600.0) -> DataFrame:
+    """``left`` with the columns ``take`` of the row of ``right`` nearest in time (both: subject, ts), and off_s, how far it is; nulls beyond the tolerance.
+
+    ``side`` is nearest, before or after; a row of the same time counts as either, and of two as near the earlier is taken.  Of rows of
+    ``right`` that share subject and time the one of the largest ``take`` counts.  Rows without subject or time meet nothing, those of ``left`` stay.
+
+    Both tracks are dealt out by subject and stretch of time, so a long recording is many groups; a row of ``right`` also goes to the
+    stretch whose edge is within its tolerance.  Within a group the latest and the next row are carried along the order of time: no pairs are made.
+    """
+    if side not in ("nearest", "before", "after"):
+        raise ValueError(f"unknown side {side!r}")
+    tolerance, chunk = round(tolerance_s * 1e6), max(round(chunk_s * 1e6), 2 * round(tolerance_s * 1e6), 1)
+    at = F.unix_micros("ts")
+    place = lambda shift=0: F.floor((F.col("_at") + shift) / chunk)
+    lefts = left.withColumn("_row", F.struct(*[f"`{c}`" for c in left.columns])).select("subject", at.alias("_at"), "_row").withColumn("_chunk", F.coalesce(place(), F.lit(-1)))
+    rights = right.where(F.col("ts").isNotNull() & F.col("subject").isNotNull()).select("subject", at.alias("_at"), F.struct(*take).alias("_take"))
+    rights = rights.withColumn("_chunk", F.explode(F.array_distinct(F.array(place(-tolerance), place(), place(tolerance)))))
+    rows = lefts.withColumn("_take", F.lit(None).cast(rights.schema["_take"].dataType)).unionByName(rights.withColumn("_row", F.lit(None).cast(lefts.schema["_row"].dataType)))
+    known = F.when(F.col("_row").isNull(), F.struct("_at", "_take"))
+    group = Window.partitionBy("subject", "_chunk")
+    upto = lambda order: F.max(known).over(group.orderBy(order).rangeBetween(Window.unboundedPreceding, 0))
+    after = F.max(F.when(F.col("_row").isNull(), F.struct((-F.col("_at")).alias("_at"), "_take"))).over(group.orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, 0))
+    met = rows.withColumns({"_before": upto(F.asc("_at")), "_after": after}).where("_row is not null")
+    back, ahead = F.col("_at") - F.col("_before._at"), -F.col("_after._at") - F.col("_at")
+    near = F.lit(True) if side == "before" else F.lit(False) if side == "after" else F.coalesce(back <= ahead, ahead.isNull())
+    off = F.when(near, back).otherwise(ahead)
+    ok = off <= tolerance
+    chosen = F.when(ok, F.when(near, F.col("_before._take")).otherwise(F.col("_after._take")))
+    return met.select("_row.*", *[chosen[c].alias(c) for c in take], F.when(ok, off / 1e6).alias("off_s"))

@@ -1,8 +1,9 @@
 """Sliding windows out of panes, purity-gated labels, nested sub-windows.
 
 A pane is one step of one stream.  Samples are grouped into panes once; a window is a range of pane numbers, so
-no sample is multiplied by the windows that hold it.  With the input partitioned by subject, grouping and windowing
-share one exchange.
+no sample is multiplied by the windows that hold it.  Recordings are dealt out by subject and chunk, a stretch of panes; the
+panes at a chunk's start also go to the chunk before (its halo), whose last windows reach into them.  So grouping and
+windowing share one exchange, and a long recording is many groups.
 """
 
 from __future__ import annotations
@@ -23,21 +24,48 @@ def grid(durations: DataFrame, cfg: Config) -> DataFrame:
     return out.withColumn("t_start", F.col("w") * cfg.step_s)
 
 
-def panes(samples: DataFrame, cfg: Config) -> DataFrame:
-    """(subject, stream, pane, values) with values in order; non-finite ones are null."""
-    streams = sorted(s for s in cfg.fs if s != "label")
-    size = F.create_map(*[x for s in streams for x in (F.lit(s), F.lit(cfg.pane_size(s)))])[F.col("stream")]
-    rows = samples.where(F.col("stream").isin(streams)).select("subject", "stream", F.floor(F.col("sample_idx") / size).alias("pane"), F.struct("sample_idx", finite(F.col("v")).alias("v")).alias("s"))
-    got = rows.groupBy("subject", "stream", "pane").agg(F.array_sort(F.collect_list("s")).alias("s"))
-    return got.select("subject", "stream", "pane", F.transform("s", lambda x: x["v"]).alias("values"))
+def chunk_of(pane: Column, cfg: Config) -> Column:
+    return F.floor(pane / cfg.panes(cfg.chunk_s))
 
 
-def window_arrays(df: DataFrame, cfg: Config, long: tuple[str, ...] = ("eda", "temp"), short: tuple[str, ...] = ("hr", "acc_x", "acc_y", "acc_z")) -> DataFrame:
-    """(subject, w) with a 60 s array of each long stream and a 15 s array of each short one, starting at pane w."""
-    ahead = Window.partitionBy("subject", "stream").orderBy("pane")
+def chunks(pane: Column, cfg: Config) -> Column:
+    """The chunks that need a pane: its own, and the one before for the panes that windows of that one reach into."""
+    size, own = cfg.panes(cfg.chunk_s), chunk_of(pane, cfg)
+    if size < cfg.panes(cfg.win_s):
+        raise ValueError("a chunk is shorter than a window")
+    return F.when((own > 0) & (pane % size < cfg.panes(cfg.win_s) - 1), F.array(own, own - 1)).otherwise(F.array(own))
+
+
+def own(df: DataFrame, cfg: Config) -> DataFrame:
+    """Rows of windows that begin in their chunk; those of the halo are left out."""
+    return df.where(F.col("chunk") == chunk_of(F.col("w"), cfg))
+
+
+def pane_of(cfg: Config) -> Column:
+    """The pane of a sample of any stream but the labels."""
+    sizes = F.create_map(*[x for s in sorted(cfg.fs) if s != "label" for x in (F.lit(s), F.lit(cfg.pane_size(s)))])
+    return F.floor(F.col("sample_idx") / sizes[F.col("stream")])
+
+
+def dealt(samples: DataFrame, cfg: Config) -> DataFrame:
+    """Samples with their chunk, those of a halo twice, exchanged by (subject, chunk)."""
+    known = samples.where(F.col("stream").isin(sorted(s for s in cfg.fs if s != "label")))
+    return known.withColumn("chunk", F.explode(chunks(pane_of(cfg), cfg))).repartition("subject", "chunk")
+
+
+def panes(samples: DataFrame, cfg: Config, by: tuple[str, ...] = ("subject",)) -> DataFrame:
+    """(by, stream, pane, values) with values in order; non-finite ones are null."""
+    rows = samples.where(F.col("stream").isin(sorted(s for s in cfg.fs if s != "label"))).select(*by, "stream", pane_of(cfg).alias("pane"), F.struct("sample_idx", finite(F.col("v")).alias("v")).alias("s"))
+    got = rows.groupBy(*by, "stream", "pane").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    return got.select(*by, "stream", "pane", F.transform("s", lambda x: x["v"]).alias("values"))
+
+
+def window_arrays(df: DataFrame, cfg: Config, long: tuple[str, ...] = ("eda", "temp"), short: tuple[str, ...] = ("hr", "acc_x", "acc_y", "acc_z"), by: tuple[str, ...] = ("subject",)) -> DataFrame:
+    """(by, w) with a 60 s array of each long stream and a 15 s array of each short one, starting at pane w."""
+    ahead = Window.partitionBy(*by, "stream").orderBy("pane")
     reach = F.when(F.col("stream").isin(*long), F.flatten(F.collect_list("values").over(ahead.rangeBetween(0, cfg.panes(cfg.win_s) - 1)))).otherwise(F.flatten(F.collect_list("values").over(ahead.rangeBetween(0, cfg.panes(cfg.short_s) - 1))))
     cells = df.where(F.col("stream").isin(*long, *short)).withColumn("a", reach)
-    return cells.groupBy("subject", F.col("pane").alias("w")).agg(*[F.first(F.when(F.col("stream") == s, F.col("a")), ignorenulls=True).alias(s) for s in (*long, *short)])
+    return cells.groupBy(*by, F.col("pane").alias("w")).agg(*[F.first(F.when(F.col("stream") == s, F.col("a")), ignorenulls=True).alias(s) for s in (*long, *short)])
 
 
 def label_counts(labels: DataFrame, cfg: Config, by: list[str]) -> DataFrame:
@@ -53,11 +81,12 @@ def majority_label(labels: DataFrame, windows: DataFrame, cfg: Config) -> DataFr
     """
     size = round(cfg.fs["label"] * cfg.step_s)
     counted = label_counts(labels.withColumn("pane", F.floor(F.col("sample_idx") / size)), cfg, ["subject", "pane"])
-    span = Window.partitionBy("subject").orderBy("pane").rangeBetween(0, cfg.panes(cfg.win_s) - 1)
-    sums = counted.select("subject", F.col("pane").alias("w"), *[F.sum(F.col("counts")[c]).over(span).alias(f"c{c}") for c in range(8)])
+    counted = counted.withColumn("chunk", F.explode(chunks(F.col("pane"), cfg)))
+    span = Window.partitionBy("subject", "chunk").orderBy("pane").rangeBetween(0, cfg.panes(cfg.win_s) - 1)
+    sums = counted.select("subject", "chunk", F.col("pane").alias("w"), *[F.sum(F.col("counts")[c]).over(span).alias(f"c{c}") for c in range(8)])
     total, most = sum(F.col(f"c{c}") for c in range(1, 8)) + F.col("c0"), F.greatest(*[F.col(f"c{c}") for c in range(8)])
     majority = F.coalesce(*[F.when(F.col(f"c{c}") == most, c) for c in range(8)])
-    sums = sums.select("subject", "w", majority.alias("majority"), (most / total).alias("share"), total.alias("n"))
+    sums = own(sums, cfg).select("subject", "w", majority.alias("majority"), (most / total).alias("share"), total.alias("n"))
     return with_reason(windows.join(sums, ["subject", "w"], "left"), cfg)
 
 

@@ -82,6 +82,20 @@ def label_nearest(spark, sf):
     return timebase.label_nearest(X.samples_1hz(spark, sf, ["eda"]), labels, HALF).select("subject", "sample_idx", "label")
 
 
+@query(f"""WITH l AS (SELECT event_id, user_id::VARCHAR AS subject, ts::TIMESTAMP AS ts FROM events WHERE event_type <> 'view'
+    ), r AS (SELECT user_id::VARCHAR AS subject, ts::TIMESTAMP AS ts, max(value) AS value FROM events WHERE event_type = 'view' GROUP BY ALL
+    ), b AS (SELECT l.*, r.value AS bv, epoch_us(l.ts) - epoch_us(r.ts) AS back FROM l ASOF LEFT JOIN r ON l.subject = r.subject AND l.ts >= r.ts
+    ), a AS (SELECT b.*, r.value AS av, epoch_us(r.ts) - epoch_us(b.ts) AS ahead FROM b ASOF LEFT JOIN r ON b.subject = r.subject AND b.ts <= r.ts
+    ), n AS (SELECT *, coalesce(back <= ahead, ahead IS NULL) AS early FROM a
+    ), o AS (SELECT *, CASE WHEN early THEN back ELSE ahead END AS off FROM n)
+    SELECT event_id, subject, CASE WHEN off <= 21600000000 THEN CASE WHEN early THEN bv ELSE av END END AS value, {R('CASE WHEN off <= 21600000000 THEN off / 1000000.0 END', 'off_s')} FROM o""")
+def nearest_in_time(spark, sf):
+    """Each other event of a user with the value of the view nearest in time, at most six hours away."""
+    e = spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.col("user_id").cast("string").alias("subject"), F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    out = timebase.nearest_in_time(e.where("event_type <> 'view'").select("event_id", "subject", "ts"), e.where("event_type = 'view'"), 6 * 3600.0, ["value"])
+    return out.select("event_id", "subject", "value", F.round(F.col("off_s") + 1e-8, 6).alias("off_s"))
+
+
 @query(f"""WITH {REC} SELECT g.subject, g.w, count(*) AS n, {R('sum(x.eda)', 'eda_sum')} FROM grid g
         JOIN wide x ON x.subject = g.subject AND x.i >= floor(g.w * 5) AND x.i < ceil(g.w * 5 + 60) GROUP BY ALL""")
 def window_slice(spark, sf):

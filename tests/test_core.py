@@ -196,7 +196,7 @@ def test_registered_runs_take_every_fold_task_and_set(spark, monkeypatch):
     class Done:
         summary = permutation = spark.createDataFrame([("t", "m", "all", 0.0)], "task string, model string, feature_set string, balanced_acc_mean double")
 
-    def noted(df, task, model, feature_set, seed=0, mode="baseline", permutation=False, k=None, trees=loso.Trees(), threads=4, approx=False):
+    def noted(df, task, model, feature_set, seed=0, mode="baseline", permutation=False, k=None, trees=loso.Trees(), threads=4, scaled=None):
         calls.append((task, model, feature_set, k, trees))
         return Done
 
@@ -216,8 +216,8 @@ def test_gaps_are_filled_from_the_train_side_only(spark, monkeypatch):
     df = spark.createDataFrame(rows, "subject string, label int, t_start double, eda_scl_mean double")
     seen, fill = [], loso.impute_train_median
 
-    def noted(train, other, cols, approx=False):
-        out = fill(train, other, cols, approx)
+    def noted(train, other, cols):
+        out = fill(train, other, cols)
         seen.append(({r["subject"] for r in train.select("subject").distinct().collect()}, {r["eda_scl_mean"] for r in out.select("eda_scl_mean").distinct().collect()}, {r["subject"] for r in other.select("subject").distinct().collect()}))
         return out
 
@@ -273,17 +273,36 @@ def test_grouped_folds_keep_scores_by_subject(spark):
 
 
 def test_permuted_shuffles_within_folds_without_gathering_one(spark):
-    rows = [("a" if i % 3 else "b", f"s{i % 7}", float(i), float(i)) for i in range(500)]
-    df = spark.createDataFrame(rows, "fold string, subject string, t_start double, v double")
-    places = loso.numbered(df.repartition(5), "t_start").select("fold", "t_start", "_r").collect()
+    rows = [("a" if i % 3 else "b", f"s{i % 7}", float(i), float(i), float(-i), i % 2) for i in range(500)]
+    df = spark.createDataFrame(rows, "fold string, subject string, t_start double, v double, u double, y int")
+    places = loso.numbered(df.repartition(5), ["fold"], "t_start").select("fold", "t_start", "_r").collect()
     for fold in "ab":
         mine = sorted((r["t_start"], r["_r"]) for r in places if r["fold"] == fold)
         assert [r for _, r in mine] == list(range(len(mine)))
-    got = loso.permuted(df, "v", 3).collect()
-    for fold in "ab":
-        want = sorted(r[3] for r in rows if r[0] == fold)
-        assert sorted(r["v"] for r in got if r["fold"] == fold) == want == sorted(r["t_start"] for r in got if r["fold"] == fold)
-    assert sum(r["v"] != r["t_start"] for r in got) > 400
+    got = loso.permuted(df, ["v", "u"], 3, 2).collect()
+    hashes = {(r["c"], r["k"], r["subject"], r["t_start"]): r["h"] for r in df.crossJoin(spark.createDataFrame([(c, k) for c in "uv" for k in (0, 1)], "c string, k int")).select("c", "k", "subject", "t_start", F.xxhash64(F.lit(3) + F.col("k"), "c", "subject", "t_start").alias("h")).collect()}
+    want = []
+    for c, at in (("v", 3), ("u", 4)):
+        for k in (0, 1):
+            for fold in "ab":
+                mine = sorted((r for r in rows if r[0] == fold), key=lambda r: (r[1], r[2]))
+                order = sorted(mine, key=lambda r: hashes[c, k, r[1], r[2]])
+                want += [(c, k, *r[:3], o[3] if c == "v" else r[3], o[4] if c == "u" else r[4]) for r, o in zip(mine, order)]
+    assert sorted((r["_c"], r["_k"], r["fold"], r["subject"], r["t_start"], r["v"], r["u"]) for r in got) == sorted(want)
+
+
+def test_permutation_drops_equal_a_column_at_a_time(spark):
+    rng = np.random.default_rng(2)
+    rows = [("f", f"s{i % 3}", float(i), float(rng.normal(i % 2, 0.3)), float(rng.normal()), i % 2) for i in range(200)]
+    df = spark.createDataFrame(rows, "fold string, subject string, t_start double, v double, u double, y int")
+    cols = ["v", "u"]
+    fitted = loso.make_estimator("rf", "binary", 0, loso.Trees(rf_trees=5, max_depth=3)).fit(loso.assemble(df.withColumn("weight", F.lit(1.0)), cols))
+    accuracy = lambda d: d.select(F.avg((F.col("y") == F.col("prediction")).cast("int"))).first()[0]
+    whole, got = accuracy(fitted.transform(loso.assemble(df, cols))), dict(loso.permutation_drops(df, fitted, cols, 7, 3))
+    for c in cols:
+        each = [whole - accuracy(fitted.transform(loso.assemble(loso.permuted(df, [c], 7, 3).where(F.col("_k") == k), cols))) for k in range(3)]
+        assert got[c] == pytest.approx(sum(each) / 3)
+    assert got["v"] > 0.2 > abs(got["u"])
 
 
 def test_export_load_and_score(spark, tmp_path):
