@@ -17,6 +17,8 @@ class Config:
     baseline_s: float = 600.0
     motion_sd: float = 0.05
     scr_min_amp: float = 0.01
+    eda_split: str = "median"  # or "sparse": deconvolution, the median where it does not settle
+    scr_find: str = "prominence"  # or "onset": onset and half recovery
     acc_band: tuple[float, float] = (0.3, 10.0)
     hr_range: tuple[float, float] = (20.0, 220.0)
     n_ref: int = 100

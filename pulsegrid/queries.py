@@ -274,6 +274,42 @@ def scr_events(spark, sf):
     return rounded(df.select("subject", F.explode(signal.scr_events(4.0)("p.phasic")).alias("e")).select("subject", "e.*"))
 
 
+@query(TONIC + f""", ph AS (SELECT subject, k - 1 AS i, phasic AS x FROM t
+    ), numbered AS (SELECT *, count(*) FILTER (new) OVER (PARTITION BY subject ORDER BY i) AS run FROM (SELECT *, x IS DISTINCT FROM lag(x) OVER (PARTITION BY subject ORDER BY i) AS new FROM ph)
+    ), runs AS (SELECT subject, run, min(i) AS lo, max(i) AS hi, any_value(x) AS px FROM numbered GROUP BY subject, run
+    ), turns AS (SELECT *, px > lag(px) OVER w AND px > lead(px) OVER w AS top, px < lag(px) OVER w AND px < lead(px) OVER w AS low FROM runs WINDOW w AS (PARTITION BY subject ORDER BY run)
+    ), feet AS (SELECT *, last_value(CASE WHEN low THEN hi END IGNORE NULLS) OVER (PARTITION BY subject ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS foot,
+            last_value(CASE WHEN low THEN px END IGNORE NULLS) OVER (PARTITION BY subject ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS base,
+            coalesce(first_value(CASE WHEN low THEN lo END IGNORE NULLS) OVER (PARTITION BY subject ORDER BY run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), max(hi) OVER (PARTITION BY subject)) AS until FROM turns
+    ), found AS (SELECT subject, (lo + hi) // 2 AS p, px, px - base AS amp, foot, until, max(px - base) OVER (PARTITION BY subject) AS tallest FROM feet WHERE top AND foot IS NOT NULL
+    ), back AS (SELECT f.subject, f.p, min(ph.i) AS i FROM found f JOIN ph ON ph.subject = f.subject AND ph.i BETWEEN f.p AND f.until AND ph.x <= f.px - f.amp / 2 GROUP BY ALL)
+    SELECT subject, p::DOUBLE AS idx, {R('amp')}, {R('(p - foot) / 4.0', 'rise')}, {R('(p - foot) / 4.0 + coalesce((i - p) / 4.0, 0)', 'dur')}, {R('(i - p) / 4.0', 'recovery')}
+    FROM found LEFT JOIN back USING (subject, p) WHERE amp >= greatest(0.01, 0.1 * tallest)""")
+def scr_onsets(spark, sf):
+    """Responses by onset and half recovery, over the phasic part of every vector."""
+    df = X.recording_arrays(spark, sf).select("subject", signal.eda_decompose(4.0)("values").alias("p"))
+    return rounded(df.select("subject", F.explode(signal.scr_onsets(4.0)("p.phasic")).alias("e")).select("subject", "e.*"))
+
+
+@query()
+def eda_sparse(spark, sf):
+    """Tonic and phasic part of every vector by sparse deconvolution, and by which method it was made."""
+    df = X.recording_arrays(spark, sf).select("subject", signal.eda_sparse(4.0)("values").alias("p"))
+    df = df.select("subject", "p.method", F.posexplode(F.arrays_zip("p.tonic", "p.phasic")).alias("sample_idx", "z"))
+    return rounded(df.select("subject", "sample_idx", "z.tonic", "z.phasic", "method"))
+
+
+@query()
+def eda_method_rates(spark, sf):
+    """How many windows of the recordings were not made by deconvolution and by onsets."""
+    import dataclasses
+
+    from pulsegrid.operators import quality
+
+    df = features.eda(_arrays(spark, sf, "eda"), dataclasses.replace(CFG, eda_split="sparse", scr_find="onset"))
+    return rounded(quality.method_rates(df.where("eda_method is not null"), ["eda_method", "scr_method"], {"eda_method": "sparse", "scr_method": "onset"}))
+
+
 def _eda(spark, sf):
     return features.eda(X.recording_arrays(spark, sf).withColumnRenamed("values", "eda"), Config())
 
