@@ -11,12 +11,31 @@ from pulsegrid.operators import diagnose, metrics, quality, scaling, scoring
 from pulsegrid.plans import export, loso
 from pulsegrid.queries import CFG, DEFECT, FEAT, PRED, REC, R, query, rounded, table_sql
 from pulsegrid.sources import fixtures as X
-from pulsegrid.sources import shared
+from pulsegrid.sources import ingest, shared
 from pulsegrid.streaming import live
 
 COLS = X.FEATS
 SWEEP_SETS = ["all", "no_posture", "no_temp", "clean", "eda_only", "time_only", "clean_plus_time", "eda_plus_time"]
 
+# ---- tables ------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {FEAT} SELECT * FROM feat")
+def table_round_trip(spark, sf):
+    """The feature table written as compressed CSV, read, written as JSON by subject and read again."""
+    df, path = X.features(spark, sf), shared.folder(spark, "round_trip")
+    ingest.write_table(df, f"{path}/csv", "csv")
+    back = ingest.read_table(spark, f"{path}/csv", df.schema, "csv")
+    ingest.write_table(back.withColumn("part", F.pmod(F.hash("subject"), F.lit(8))), f"{path}/json", "json", ["part"])
+    return ingest.read_table(spark, f"{path}/json", df.schema, "json").select(df.columns)
+
+
+@query(f"WITH {FEAT} SELECT * FROM feat")
+def robust_scale_none(spark, sf):
+    """Mode none leaves every value, gaps included."""
+    return scaling.standardise(X.features(spark, sf), "none", COLS)
+
+
 # ---- acceptance --------------------------------------------------------------------------------------------------
 
 STREAMS = """SELECT subject, 'streams' AS "check", array_to_string(list_sort(list_filter(['acc_x', 'acc_y', 'acc_z', 'eda', 'hr', 'temp'], lambda s: NOT list_contains(has, s))), ',') AS detail
@@ -33,8 +52,13 @@ SHARES = """SELECT subject, 'share' AS "check", c::VARCHAR AS detail FROM (
     SELECT subject, unnest([1, 2, 3]) AS c, unnest([count(*) FILTER (label = 1) / count(*) FILTER (label IN (1, 2, 3)) - 0.53,
         count(*) FILTER (label = 2) / count(*) FILTER (label IN (1, 2, 3)) - 0.30, count(*) FILTER (label = 3) / count(*) FILTER (label IN (1, 2, 3)) - 0.17]) AS off
     FROM dlab GROUP BY subject) WHERE abs(off) > 0.12"""
-ALIGN = """SELECT e.subject, 'alignment' AS "check", count(*)::VARCHAR AS detail FROM dlong e JOIN dlab a ON a.subject = e.subject AND a.i = e.i
-    WHERE e.stream = 'eda' AND a.label <> a.label GROUP BY e.subject"""
+ALIGN = """SELECT p.subject, 'alignment' AS "check", count(*)::VARCHAR AS detail FROM (
+        SELECT e.subject, e.i, least(greatest(round_even(e.i * 0.5, 0)::BIGINT, 0), last) AS near, least(floor(e.i * 0.5)::BIGINT, last) AS cut
+        FROM dlong e JOIN (SELECT subject, max(i) AS last FROM half GROUP BY subject) USING (subject) WHERE e.stream = 'eda') p
+    JOIN half a ON a.subject = p.subject AND a.i = near JOIN half b ON b.subject = p.subject AND b.i = cut WHERE a.label <> b.label GROUP BY p.subject"""
+#: Labels at half the rate of the samples.
+HALVED = "half AS (SELECT subject, i // 2 AS i, label FROM dlab WHERE i % 2 = 0)"
+HALF = Config(fs=CFG.fs | {"label": 0.5})
 
 
 @query(f"WITH {DEFECT} {STREAMS}")
@@ -67,19 +91,20 @@ def check_label_share(spark, sf):
     return quality.check_label_share(X.defective(spark, sf)[1], CFG)
 
 
-@query(f"""WITH {DEFECT}, lab AS (SELECT subject, i // 2 AS i, label FROM dlab WHERE i % 2 = 0), last AS (SELECT subject, max(i) AS last FROM lab GROUP BY subject), p AS (
-        SELECT e.subject, e.i, least(greatest(round_even(e.i * 0.5, 0)::BIGINT, 0), last) AS near, least(floor(e.i * 0.5)::BIGINT, last) AS cut
-        FROM dlong e JOIN last USING (subject) WHERE e.stream = 'eda')
-    SELECT p.subject, 'alignment' AS "check", count(*)::VARCHAR AS detail FROM p JOIN lab a ON a.subject = p.subject AND a.i = near
-    JOIN lab b ON b.subject = p.subject AND b.i = cut WHERE a.label <> b.label GROUP BY p.subject""")
+@query(f"WITH {DEFECT}, {HALVED} {ALIGN}")
 def check_alignment(spark, sf):
     samples, labels = X.defective(spark, sf)
-    return quality.check_alignment(samples, X.half_rate(labels), Config(fs=CFG.fs | {"label": 0.5}))
+    return quality.check_alignment(samples, X.half_rate(labels), HALF)
+
+
+OF_HALF = [q.replace("max(i) + 1 FROM dlab", "(max(i) + 1) * 2 FROM half").replace("FROM dlab", "FROM half") for q in (SPREAD, CLASSES, SHARES)]
 
 
-@query(f"WITH {DEFECT} " + " UNION ALL ".join(f"({q})" for q in (STREAMS, SPREAD, NULLS, RANGES, CLASSES, SHARES, ALIGN)))
+@query(f"WITH {DEFECT}, {HALVED} " + " UNION ALL ".join(f"({q})" for q in (STREAMS, NULLS, RANGES, *OF_HALF, ALIGN)))
 def acceptance_report(spark, sf):
-    return quality.acceptance_report(*X.defective(spark, sf), CFG)
+    """All checks at once, the labels at half the rate of the samples."""
+    samples, labels = X.defective(spark, sf)
+    return quality.acceptance_report(samples, X.half_rate(labels), HALF)
 
 
 @query(f"""WITH {DEFECT}, m AS (SELECT subject, min(n) / 60.0 AS minutes FROM (SELECT subject, stream, max(i) + 1 AS n FROM dlong GROUP BY ALL
@@ -422,6 +447,23 @@ def stream_short_windows(spark, sf):
     return rounded(out.drop("stream").withColumn("start", F.col("start").cast("timestamp_ntz")))
 
 
+@query(f"""WITH e AS (SELECT user_id::VARCHAR AS wearer, value, ts, date_trunc('day', ts)::TIMESTAMP AS start, ts < (SELECT make_timestamp((epoch_us(min(ts)) + epoch_us(max(ts))) // 2) FROM events) AND event_id % 9 <> 4 AS early FROM events
+    ) SELECT wearer, start, count(value) AS n, {R('avg(value)', 'mean')}, {R('stddev_pop(value)', 'sd')}, {R('min(value)', 'min')}, {R('max(value)', 'max')}
+    FROM e WHERE (early OR start + INTERVAL 24 HOUR > (SELECT max(ts) - INTERVAL 10 SECOND FROM e WHERE early)) AND start + INTERVAL 24 HOUR <= {CLOSED} GROUP BY wearer, start""")
+def stream_late_rows(spark, sf):
+    """A ninth of the first half's events comes with the second half: those whose window had closed by then are dropped, the others count."""
+    path = shared.folder(spark, "late")
+    rows = spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.col("user_id").cast("string").alias("wearer"), F.lit("value").alias("stream"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("v"))
+    middle = F.timestamp_micros(F.lit(rows.select(F.floor((F.unix_micros(F.min("ts")) + F.unix_micros(F.max("ts"))) / 2)).first()[0]))
+    early = (F.col("ts") < middle) & (F.col("event_id") % 9 != 4)
+    for part in (early, ~early):
+        rows.where(part).drop("event_id").write.mode("append").parquet(f"{path}/in")
+        out = live.short_windows(live.read_parquet(spark, f"{path}/in"), "1 day")
+        live.sink(out, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    got = spark.read.schema(out.schema).parquet(f"{path}/out")
+    return rounded(got.drop("stream").withColumn("start", F.col("start").cast("timestamp_ntz")))
+
+
 @query(f"""WITH k AS (SELECT user_id::VARCHAR AS wearer, value, ts, time_bucket(INTERVAL 6 HOUR, ts) - unnest(range(0, 4)) * INTERVAL 6 HOUR AS start FROM events)
     SELECT wearer, start, count(value) AS n, {R('avg(value)', 'mean')}, {R('stddev_pop(value)', 'sd')}, {R('min(value)', 'min')}, {R('max(value)', 'max')}
     FROM k GROUP BY ALL HAVING start + INTERVAL 24 HOUR <= {CLOSED} AND count(value) >= 1""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -19,8 +20,17 @@ def folder(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session may have ended
+        pass
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to a new folder and read back, so that a lost executor costs one stage and not the chain before it."""
+    """``df`` written to a new folder and read back, so that a lost executor costs one stage and not the chain before it; removed at the program's end."""
     path = folder(df.sparkSession, label)
+    atexit.register(_remove, df.sparkSession, path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
