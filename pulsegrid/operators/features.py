@@ -10,7 +10,7 @@ from pulsegrid import contract
 from pulsegrid.config import Config
 from pulsegrid.functions import arrays as A
 from pulsegrid.functions import signal
-from pulsegrid.operators import timebase, windows
+from pulsegrid.operators import windows
 
 
 def plausible_hr(a: Column, cfg: Config) -> Column:
@@ -120,6 +120,16 @@ def to_vector(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return df.withColumn("features", F.array(*(cols or contract.FEATURE_NAMES)))
 
 
+def overview(samples: DataFrame, labels: DataFrame, cfg: Config) -> DataFrame:
+    """(subject, duration, baseline_hr, baseline_temp): the shortest track and the references, from one aggregate over the samples and one over the labels."""
+    streams = sorted(s for s in cfg.fs if s != "label")
+    last = [F.max(F.when(F.col("stream") == s, F.col("sample_idx"))).alias(f"last_{s}") for s in streams]
+    tracks = samples.where(F.col("stream").isin(streams)).groupBy("subject").agg(*last, *windows.baseline_aggregates(cfg))
+    label = labels.groupBy("subject").agg(F.max("sample_idx").alias("last_label"))
+    seconds = [(F.col(f"last_{s}") + 1) / float(cfg.fs[s]) for s in [*streams, "label"]]
+    return tracks.join(label, "subject").select("subject", F.least(*seconds).alias("duration"), "baseline_hr", "baseline_temp")
+
+
 def build_table(samples: DataFrame, labels: DataFrame, cfg: Config, limit: int | None = None) -> DataFrame:
     """The feature table: 42 features, subject, label, label_name, t_start, of the accepted windows.
 
@@ -129,11 +139,11 @@ def build_table(samples: DataFrame, labels: DataFrame, cfg: Config, limit: int |
     by = ("subject", "chunk")
     cells = windows.panes(windows.dealt(samples, cfg), cfg, by)
     arrays = windows.window_arrays(cells, cfg, by=by).withColumn("baseline_hr", F.lit(0.0))
-    lengths = timebase.durations(samples, labels, cfg)
-    accepted = windows.majority_label(labels, windows.grid(lengths, cfg), cfg).where("label is not null")
+    refs = ("baseline_hr", "baseline_temp")
+    accepted = windows.majority_label(labels, windows.grid(overview(samples, labels, cfg), cfg, refs), cfg).where("label is not null")
     if limit is not None:
         accepted = windows.limit_accepted(accepted, limit)
-    accepted = accepted.select("subject", windows.chunk_of(F.col("w"), cfg).alias("chunk"), "w", "label", "t_start").join(windows.baseline_refs(samples, cfg), "subject", "left")
+    accepted = accepted.select("subject", windows.chunk_of(F.col("w"), cfg).alias("chunk"), "w", "label", "t_start", *refs)
     blocks = imu(hr(arrays, cfg), cfg).drop("hr", "acc_x", "acc_y", "acc_z", "baseline_hr")
     rolled = windows.own(rollup(blocks, contract.HR + contract.IMU, cfg, by), cfg)
     both = rolled.join(accepted, [*by, "w"])

@@ -17,10 +17,10 @@ from pulsegrid.contract import LABEL_NAMES
 from pulsegrid.functions.arrays import finite
 
 
-def grid(durations: DataFrame, cfg: Config) -> DataFrame:
-    """(subject, w, t_start) of the complete windows."""
+def grid(durations: DataFrame, cfg: Config, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(subject, w, t_start) of the complete windows, with columns of the durations to ``keep``."""
     last = F.floor((F.col("duration") - cfg.win_s) / cfg.step_s)
-    out = durations.where(F.col("duration") >= cfg.win_s).select("subject", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))).alias("w"))
+    out = durations.where(F.col("duration") >= cfg.win_s).select("subject", *keep, F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))).alias("w"))
     return out.withColumn("t_start", F.col("w") * cfg.step_s)
 
 
@@ -120,12 +120,14 @@ def attach_meta(df: DataFrame) -> DataFrame:
     return df.withColumn("label_name", label_name(F.col("label"))).withColumn("t_start", F.round("t_start", 3))
 
 
-def baseline_refs(samples: DataFrame, cfg: Config) -> DataFrame:
-    """(subject, baseline_hr, baseline_temp): means over the first part, whatever the label; null if empty."""
+def baseline_aggregates(cfg: Config) -> list[Column]:
+    """baseline_hr and baseline_temp of a group of samples: means over the first part, whatever the label; null if empty."""
     lo, hi = cfg.hr_range
     v = finite(F.col("v"))
     early = lambda s: (F.col("stream") == s) & (F.col("sample_idx") < F.ceil(F.lit(cfg.baseline_s * cfg.fs[s])))
-    return samples.where(F.col("stream").isin("hr", "temp")).groupBy("subject").agg(
-        F.avg(F.when(early("hr") & (v > lo) & (v < hi), v)).alias("baseline_hr"),
-        F.avg(F.when(early("temp"), v)).alias("baseline_temp"),
-    )
+    return [F.avg(F.when(early("hr") & (v > lo) & (v < hi), v)).alias("baseline_hr"), F.avg(F.when(early("temp"), v)).alias("baseline_temp")]
+
+
+def baseline_refs(samples: DataFrame, cfg: Config) -> DataFrame:
+    """(subject, baseline_hr, baseline_temp) of every subject with either stream."""
+    return samples.where(F.col("stream").isin("hr", "temp")).groupBy("subject").agg(*baseline_aggregates(cfg))
