@@ -86,38 +86,39 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_linededup": """
             WITH d AS (
-                SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls
-                FROM documents
+                SELECT doc_id, text, row_number() OVER (ORDER BY doc_id, text) AS id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls
+                FROM (SELECT DISTINCT doc_id, text FROM documents)
             ), l AS (
-                SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS s FROM d
+                SELECT id, ls, unnest(range(1, len(ls) + 1)) AS s FROM d
             ), w AS (
-                SELECT doc_id, ls, s, length(ls[s]) - length(replace(ls[s], ' ', '')) + 1 AS w FROM l
+                SELECT id, ls, s, length(ls[s]) - length(replace(ls[s], ' ', '')) + 1 AS w FROM l
             ), c AS (
-                SELECT doc_id, ls, s, sum(w) OVER (PARTITION BY doc_id ORDER BY s) AS c1, w FROM w
+                SELECT id, ls, s, sum(w) OVER (PARTITION BY id ORDER BY s) AS c1, w FROM w
             ), r AS (
-                SELECT a.doc_id, a.s, b.s AS e, array_to_string(list_slice(a.ls, a.s, b.s), chr(10)) AS run
-                FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.s <= b.s
+                SELECT a.id, a.s, b.s AS e, array_to_string(list_slice(a.ls, a.s, b.s), chr(10)) AS run
+                FROM c a JOIN c b ON a.id = b.id AND a.s <= b.s
                 WHERE b.c1 - (a.c1 - a.w) >= 50 AND ((b.c1 - b.w) - (a.c1 - a.w) < 50 OR b.c1 - a.c1 < 50)
             ), n AS (
-                SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, s) AS k FROM r
+                SELECT *, row_number() OVER (PARTITION BY run ORDER BY id, s) AS k FROM r
             ), g AS (
-                SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS s FROM n WHERE k > 1
+                SELECT DISTINCT id, unnest(range(s, e + 1)) AS s FROM n WHERE k > 1
             ), k AS (
-                SELECT c.doc_id, count(g.s) AS gone,
+                SELECT c.id, count(g.s) AS gone,
                        coalesce(string_agg(c.ls[c.s], chr(10) ORDER BY c.s) FILTER (WHERE g.s IS NULL), '') AS kept
-                FROM c LEFT JOIN g ON c.doc_id = g.doc_id AND c.s = g.s GROUP BY c.doc_id
+                FROM c LEFT JOIN g ON c.id = g.id AND c.s = g.s GROUP BY c.id
             )
-            SELECT d.doc_id, CASE WHEN coalesce(gone, 0) > 0 THEN kept ELSE text END AS text,
+            SELECT o.doc_id, CASE WHEN coalesce(gone, 0) > 0 THEN kept ELSE o.text END AS text,
                    coalesce(len(ls), 0)::INTEGER AS lines_before, coalesce(gone, 0)::INTEGER AS lines_removed
-            FROM d LEFT JOIN k ON d.doc_id = k.doc_id""",
+            FROM documents o JOIN d ON o.doc_id IS NOT DISTINCT FROM d.doc_id AND o.text IS NOT DISTINCT FROM d.text LEFT JOIN k ON d.id = k.id""",
         "op9_topk": """
             WITH v AS (
-                SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+                SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v, row_number() OVER () AS row FROM embeddings
                 WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
                   AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            ), q AS (
+                SELECT DISTINCT vec_id, v FROM v WHERE vec_id % 20 = 0
             ), s AS (
-                SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
-                FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+                SELECT q.vec_id AS query_id, c.vec_id, c.row, max(list_inner_product(q.v, c.v))::BIGINT AS score FROM q JOIN v c ON q.vec_id <> c.vec_id GROUP BY ALL
             ), r AS (
                 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
             )

@@ -97,6 +97,66 @@ def test_ordinal_gradient_is_that_of_the_likelihood():
             assert np.sign(loss(up, grade) - loss(state, grade)) == np.sign(moved[j])
 
 
+def plain_quality_features(text, bits):
+    """{coordinate: root of its share} from words, their shapes and one coordinate for words said twice in a row, a word at a time."""
+    _, h, s, e = textvec.words(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]), textvec.TOKEN)
+    buf = np.frombuffer(text.encode(), np.uint8)
+    counts = {}
+    for i in range(len(h)):
+        word = int(textvec.mix(h[i : i + 1], 5)[0]) >> (65 - bits)
+        shape = int(textvec.mix(textvec.shapes(buf, np.array([0, len(buf)]), s[i : i + 1], e[i : i + 1]), 6)[0]) >> (65 - bits) | 1 << (bits - 1)
+        for at in (word, shape, *([3] if i and h[i] == h[i - 1] else [])):
+            counts[at] = counts.get(at, 0) + 1
+    return {at: (n / len(h)) ** 0.5 for at, n in counts.items()}
+
+
+def test_quality_score_is_the_sum_of_weighted_shares():
+    p = quality.Params(bits=10)
+    rng = np.random.default_rng(2)
+    model = quality.Model(p, rng.normal(size=1 << p.bits), np.array([-0.4, 0.9]))
+    texts = ["one two two TWO 12!", "", "é à, é é", "a " * 50]
+    expected, *tails = model.score(pa.array(texts))
+    for k, t in enumerate(texts):
+        total = sum(model.weight[at] * x for at, x in plain_quality_features(t, p.bits).items())
+        want = [1 / (1 + np.exp(c - total)) for c in model.thresholds]
+        assert [x[k] for x in tails] == pytest.approx(want) and expected[k] == pytest.approx(sum(want))
+
+
+def test_quality_training_equals_the_update_written_out():
+    """All passes of a shard, coordinate by coordinate: AdaGrad on log(P(>= grade) - P(> grade)), thresholds as a first one and log gaps."""
+    p = quality.Params(bits=9, passes=2)
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{j}" for j in rng.integers(0, 20, rng.integers(1, 9))) + ("!!" if i % 3 == 0 else "") for i in range(40)]
+    y = np.array([float(i % 3) for i in range(40)])
+    m = 1 << p.bits
+    start = np.zeros((2, m + 2))
+    start[0, m] = -2.0
+    got = quality._step(p)(texts, y, start.copy())
+    w, g2, raw, raw2 = {}, {}, [-2.0, 0.0], [0.0, 0.0]
+    sig = lambda z: 1 / (1 + np.exp(-z))
+    for k in range(p.passes):
+        for i in np.random.default_rng(k).permutation(len(texts)):
+            x, grade = plain_quality_features(texts[i], p.bits), int(y[i])
+            s, cut = sum(w.get(a, 0.0) * v for a, v in x.items()), [raw[0], raw[0] + np.exp(raw[1])]
+            up = sig(s - cut[grade - 1]) if grade else 1.0
+            down = sig(s - cut[grade]) if grade < 2 else 0.0
+            moved = {a: max(-1, min(1, 1 - up - down)) * v - p.l2 * w.get(a, 0.0) for a, v in x.items()}
+            d_cut = [0.0, 0.0]
+            if grade:
+                d_cut[grade - 1] -= up * (1 - up) / max(up - down, 1e-9)
+            if grade < 2:
+                d_cut[grade] += down * (1 - down) / max(up - down, 1e-9)
+            d_raw = [max(-1, min(1, d_cut[0] + d_cut[1])), max(-1, min(1, d_cut[1] * np.exp(raw[1])))]
+            for a, g in moved.items():
+                g2[a] = g2.get(a, 0.0) + g * g
+                w[a] = w.get(a, 0.0) + p.rate * g / np.sqrt(g2[a] + 1e-8)
+            for j in range(2):
+                raw2[j] += d_raw[j] ** 2
+                raw[j] += p.rate * d_raw[j] / np.sqrt(raw2[j] + 1e-8)
+    assert len(w) > 20 and [got[0, a] for a in w] == pytest.approx(list(w.values()), abs=1e-9)
+    assert got[0, m:].tolist() == pytest.approx(raw, abs=1e-9) and not [a for a in np.flatnonzero(got[0, :m]) if a not in w]
+
+
 def test_conflicting_labels_teach_nothing(spark):
     """Of ids with several labels only those that agree are used; an id of several documents teaches by the least text."""
     docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c"), (3, None), (None, "n"), (4, "d")], "doc_id long, text string")
