@@ -22,7 +22,8 @@ from pyspark.sql import types as T
 from .packing import KEPT_CHARS, LETTERS, NUMBERS, PLAIN
 from .tables import small_batches
 
-CACHE_WORDS = 1_000_000
+CACHE_BYTES = 128 << 20  # of encoded words, and of pairs found compatible or not, in a worker; beyond, they begin anew
+PAIR_BYTES = 250
 #: The byte-level pre-tokenizer's pattern, and the same for plain texts with its classes spelled out.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PLAIN_PATTERN = f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^ \\t\\n{LETTERS}{NUMBERS}]+|[ \\t\\n]+(?![^ \\t\\n])|[ \\t\\n]+"
@@ -98,7 +99,7 @@ class PrefixEncoder:
                 x_until, x = of_x[0], of_x[2]
             else:
                 break
-        if len(self.apart) > 2 * CACHE_WORDS:
+        if len(self.apart) * PAIR_BYTES > CACHE_BYTES:
             self.apart = {}
         self.apart[a, b] = ok
         return ok
@@ -150,7 +151,7 @@ class PrefixEncoder:
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if len(self.known) > CACHE_WORDS:
+        if self.known.held > CACHE_BYTES:
             self.known = _Words(self)
         if not self.odd(text):
             return b"".join(map(self.known.__getitem__, self.plain_words(text)))
@@ -178,12 +179,13 @@ class PrefixEncoder:
 
 class _Words(dict):
     def __init__(self, encoder: PrefixEncoder):
-        self.encoder = encoder
+        self.encoder, self.held = encoder, 0  # about so many bytes
 
     def __missing__(self, word: str) -> bytes:
         out = np.array(self.encoder.encode_word(word), dtype="<u4").tobytes()
         if len(word) <= KEPT_CHARS:
             self[word] = out
+            self.held += 200 + 4 * len(word) + len(out)
         return out
 
 

@@ -59,3 +59,18 @@ def test_query_form(spark, pair):
         assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
     assert bpe.digests(docs.limit(0), PATH).count() == 0
     assert sorted(len(r["ids"]) for r in bpe.encode(docs, PATH).collect()) == sorted(r["n_tokens"] for r in out)
+
+
+def test_caches_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 20_000)
+    enc, plain = bpe.PrefixEncoder(PATH), bpe.PrefixEncoder(PATH)
+    rng = np.random.default_rng(0)
+    texts = [" ".join("".join(map(chr, rng.integers(97, 123, 8))) for _ in range(20)) for _ in range(60)]
+    most = 0
+    for t in texts:
+        got = enc.encode(t)
+        most = max(most, enc.known.held)
+        monkeypatch.setattr(bpe, "CACHE_BYTES", 1 << 30)
+        assert got == plain.encode(t)
+        monkeypatch.setattr(bpe, "CACHE_BYTES", 20_000)
+    assert most < 40_000 and plain.known.held > 200_000
