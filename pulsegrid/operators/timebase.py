@@ -45,14 +45,21 @@ def label_nearest(samples: DataFrame, labels: DataFrame, cfg: Config, truncate:
 def slice_windows(samples: DataFrame, windows: DataFrame, cfg: Config, seconds: float | None = None) -> DataFrame:
     """Samples of every window [t_start, t_start + seconds): rows (w, t_start) x samples.
 
-    The window's samples are generated as indices and joined by equality, so no range join is needed.
+    Windows and samples meet by equality on the stretch of ``seconds`` a sample lies in, and a window goes to the two (or three) that it
+    touches, so no range join is needed and no index is made that has no sample.  Windows are many from few rows of
+    durations, which the planner takes for few: the hint keeps it from sending them to the driver.
     """
     seconds = cfg.win_s if seconds is None else seconds
-    streams = F.explode(F.array(*[F.struct(F.lit(k).alias("stream"), F.lit(float(v)).alias("fs")) for k, v in sorted(cfg.fs.items()) if k != "label"])).alias("s")
-    wanted = windows.select("subject", "w", "t_start", streams).select("subject", "w", "t_start", "s.stream", "s.fs")
-    first, end = F.floor(F.col("t_start") * F.col("fs")), F.ceil((F.col("t_start") + seconds) * F.col("fs"))
-    wanted = wanted.withColumn("sample_idx", F.explode(F.sequence(F.greatest(first, F.lit(0)), end - 1))).drop("fs")
-    return wanted.join(samples, ["subject", "stream", "sample_idx"])
+    slack = 1 / min(float(v) for k, v in cfg.fs.items() if k != "label")  # a window's first sample may lie before t_start by less than a period
+    place = lambda t: F.floor(t / seconds)
+    touched = F.explode(F.sequence(place(F.col("t_start") - slack), place(F.col("t_start") + seconds + slack))).alias("_stretch")
+    wanted = windows.select("subject", "w", "t_start", touched)
+    known = samples.where(F.col("stream").isin(sorted(k for k in cfg.fs if k != "label"))).withColumn("_fs", rate(cfg))
+    known = known.withColumn("_stretch", place(F.col("sample_idx") / F.col("_fs")))
+    first, end = F.floor(F.col("t_start") * F.col("_fs")), F.ceil((F.col("t_start") + seconds) * F.col("_fs"))
+    met = wanted.hint("merge").join(known, ["subject", "_stretch"]).where(F.col("sample_idx").between(F.greatest(first, F.lit(0)), end - 1))
+    rest = [c for c in samples.columns if c not in ("subject", "stream", "sample_idx")]
+    return met.select("subject", "stream", "sample_idx", "w", "t_start", *rest)
 
 
 def decimate_mean(samples: DataFrame, fs: float, out_fs: float) -> DataFrame:

@@ -130,6 +130,18 @@ def test_general_slices_equal_panes(spark):
     assert a == b and len(a) == 7
 
 
+def test_slices_of_any_start_and_rate_without_a_broadcast_of_windows(spark):
+    cfg = Config(fs={"eda": 4.0, "temp": 0.7, "label": 1.0})
+    samples = frame(spark, [("s", st, i, float(i)) for st, n in (("eda", 800), ("temp", 140), ("other", 9)) for i in range(n)], "subject string, stream string, sample_idx long, v double")
+    starts = [0.0, 0.1, 5.0, 59.9, 60.0, 61.43, 119.99, 150.0, 400.0]
+    wins = frame(spark, [("s", k, t) for k, t in enumerate(starts)], "subject string, w int, t_start double")
+    rows = timebase.slice_windows(samples, wins, cfg)
+    want = {(k, st, i) for k, t in enumerate(starts) for st, fs, n in (("eda", 4.0, 800), ("temp", 0.7, 140)) for i in range(n) if np.floor(t * fs) <= i < np.ceil((t + 60) * fs)}
+    got = [(r["w"], r["stream"], r["sample_idx"]) for r in rows.collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert "BroadcastHashJoin" not in rows._jdf.queryExecution().executedPlan().toString()  # the plan as it ran
+
+
 def test_scaling_rungs_and_errors(spark):
     cols = ["eda_range"]
     rows = [("a", float(t), 5.0 if t < 100 else float(t)) for t in range(140)] + [("b", float(t), 1.0) for t in range(120)]
