@@ -24,6 +24,13 @@ def grid(durations: DataFrame, cfg: Config, keep: tuple[str, ...] = ()) -> DataF
     return out.withColumn("t_start", F.col("w") * cfg.step_s)
 
 
+def complete(df: DataFrame, durations: DataFrame, cfg: Config) -> DataFrame:
+    """Rows of ``df`` (subject, w) whose window is one of the grid's."""
+    last = F.floor((F.col("duration") - cfg.win_s) / cfg.step_s)
+    ends = durations.where(F.col("duration") >= cfg.win_s).select("subject", last.alias("_last"))
+    return df.join(ends, "subject").where(F.col("w").between(0, F.col("_last"))).drop("_last")
+
+
 def chunk_of(pane: Column, cfg: Config) -> Column:
     return F.floor(pane / cfg.panes(cfg.chunk_s))
 

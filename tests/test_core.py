@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid import contract
+from pulsegrid import contract, queries
 from pulsegrid.config import Config, one_hertz
 from pulsegrid.functions import arrays as A
 from pulsegrid.operators import diagnose, features, metrics, quality, scaling, scoring, timebase, windows
@@ -142,6 +142,12 @@ def test_slices_of_any_start_and_rate_without_a_broadcast_of_windows(spark):
     assert "BroadcastHashJoin" not in rows._jdf.queryExecution().executedPlan().toString()  # the plan as it ran
 
 
+@pytest.mark.parametrize("name", ["temp_features", "motion_gate", "rollup_short_windows", "cross_features"])
+def test_complete_windows_are_told_by_a_row_a_subject(spark, name):
+    plan = queries.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(sequence" not in plan  # the grid
+
+
 def test_scaling_rungs_and_errors(spark):
     cols = ["eda_range"]
     rows = [("a", float(t), 5.0 if t < 100 else float(t)) for t in range(140)] + [("b", float(t), 1.0) for t in range(120)]
