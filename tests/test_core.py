@@ -285,6 +285,17 @@ def test_acceptance_report_is_the_union_of_the_checks(spark):
     assert empty.collect() == []
 
 
+def test_a_sweep_makes_runs_of_the_same_columns_once(spark, monkeypatch):
+    df = feature_rows(spark, 3, 30).select(*contract.FEATURE_SETS["eda_only"], *contract.META)
+    sets, made, run = ["all", "eda_only", "time_only"], [], loso.run
+    monkeypatch.setattr(loso, "run", lambda *a, **k: made.append((a, k)) or run(*a, **k))
+    got = {r["feature_set"]: r for r in loso.sweep(df, ["binary"], ["rf"], sets, trees=loso.Trees(rf_trees=2, max_depth=2)).collect()}
+    assert [a[3] for a, _ in made] == ["all", "time_only"] and set(got) == set(sets)
+    a, k = made[0]
+    own = run(*a[:3], "eda_only", *a[4:], **k).summary.first()
+    assert [got["eda_only"][c] for c in own.asDict()] == list(own)
+
+
 def test_grouped_folds_keep_scores_by_subject(spark):
     got = loso.run(feature_rows(spark, 5, 40), "binary", "rf", "eda_only", k=2, trees=loso.Trees(rf_trees=3, max_depth=3))
     assert {r["subject"] for r in got.folds.collect()} == {f"s{i}" for i in range(5)}
