@@ -285,6 +285,20 @@ def test_acceptance_report_is_the_union_of_the_checks(spark):
     assert empty.collect() == []
 
 
+@pytest.mark.parametrize("mode", ["baseline", "subject"])
+def test_standardise_makes_its_input_once(spark, mode):
+    calls = spark.sparkContext.accumulator(0)
+    df = feature_rows(spark, 2, 30).select(*contract.FEATURE_SETS["eda_only"], *contract.META)
+
+    def seen(parts):
+        for p in parts:
+            calls.add(len(p))
+            yield p
+
+    scaled = scaling.standardise(df.mapInPandas(seen, df.schema), mode, contract.FEATURE_SETS["eda_only"])
+    assert scaled.count() == 60 and calls.value == 60
+
+
 def test_a_sweep_makes_runs_of_the_same_columns_once(spark, monkeypatch):
     df = feature_rows(spark, 3, 30).select(*contract.FEATURE_SETS["eda_only"], *contract.META)
     sets, made, run = ["all", "eda_only", "time_only"], [], loso.run
