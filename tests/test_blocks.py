@@ -1,5 +1,7 @@
 """Array helpers work in blocks: same rows, bounded memory, each once."""
 
+import tracemalloc
+
 import numpy as np
 
 import __spark_entry__
@@ -22,3 +24,13 @@ def test_a_row_is_split_alike_beside_any_rows():
 def test_windows_are_deconvolved_once_for_the_rates(spark):
     plan = __spark_entry__.queries()["eda_method_rates"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_the_running_median_takes_a_bounded_copy():
+    x = np.random.default_rng(1).normal(size=(10_000, 64))
+    tracemalloc.start()
+    got = signal.tonic_level(x, 4.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6  # the windows together are 170 MB
+    assert (got[[0, 31, 9_999]] == np.concatenate([signal.tonic_level(x[[i]], 4.0) for i in (0, 31, 9_999)])).all()
