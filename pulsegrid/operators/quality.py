@@ -26,8 +26,10 @@ def _found(df: DataFrame, check: str, detail) -> DataFrame:
 def tracks(samples: DataFrame) -> DataFrame:
     """(subject, stream, n, length, gaps, low, mid): what the checks of samples need of each track; ``mid`` is the median of temperatures."""
     v = finite(F.col("v"))
-    mid = F.percentile(F.when(F.col("stream") == "temp", v), 0.5)
-    return samples.groupBy("subject", "stream").agg(F.count("*").alias("n"), (F.max("sample_idx") + 1).alias("length"), F.count_if(v.isNull()).alias("gaps"), F.min(v).alias("low"), mid.alias("mid"))
+    per = samples.groupBy("subject", "stream", F.when(F.col("stream") == "temp", v).alias("value"))  # plain sums: with a percentile among them all samples would be sorted
+    cells = per.agg(F.count("*").alias("n"), F.max("sample_idx").alias("last"), F.count_if(v.isNull()).alias("gaps"), F.min(v).alias("low"))
+    mid = F.percentile("value", 0.5, F.col("n"))
+    return cells.groupBy("subject", "stream").agg(F.sum("n").alias("n"), (F.max("last") + 1).alias("length"), F.sum("gaps").alias("gaps"), F.min("low").alias("low"), mid.alias("mid"))
 
 
 def label_counts(labels: DataFrame) -> DataFrame:
@@ -101,13 +103,16 @@ def check_label_share(labels: DataFrame, cfg: Config, tolerance: float = SHARE_T
 
 
 def check_alignment(samples: DataFrame, labels: DataFrame, cfg: Config, stream: str = "eda") -> DataFrame:
-    """Samples whose nearest label differs from the one by truncation, which is that label or the one before: one join finds both."""
+    """Samples whose nearest label differs from the one by truncation, which is that label or the one before.
+
+    Only samples nearer to the next label can, and only labels that differ from the one before, so no others are joined.
+    """
     track = Window.partitionBy("subject").orderBy("sample_idx")
     before = F.when(F.lag("sample_idx").over(track) == F.col("sample_idx") - 1, F.lag("label").over(track))
-    both = labels.select("subject", "sample_idx", F.struct(F.col("label").alias("at"), before.alias("before")).alias("label"))
-    near = timebase.label_nearest(samples.where(F.col("stream") == stream), both, cfg)
-    cut = F.floor(F.col("sample_idx") / timebase.rate(cfg) * cfg.fs["label"]).cast("long") < F.col("label_idx")
-    off = near.where(cut & (F.col("label.at") != F.col("label.before"))).groupBy("subject").agg(F.count("*").alias("n"))
+    turns = labels.select("subject", F.col("sample_idx").alias("label_idx"), "label", before.alias("before")).where(F.col("label") != F.col("before"))
+    at = F.col("sample_idx") / timebase.rate(cfg) * cfg.fs["label"]
+    near = samples.where(F.col("stream") == stream).select("subject", F.greatest(F.rint(at), F.lit(0.0)).cast("long").alias("label_idx"), F.floor(at).cast("long").alias("cut")).where("cut < label_idx")
+    off = near.join(turns.select("subject", "label_idx"), ["subject", "label_idx"]).groupBy("subject").agg(F.count("*").alias("n"))
     return _found(off, "alignment", F.col("n"))
 
 
