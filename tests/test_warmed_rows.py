@@ -63,3 +63,10 @@ def test_scores_by_own_first_rows_equal_those_by_references(spark):
     refs = scoring.wearer_reference(df, cols, sidecar["n_ref"], sidecar["cohort_iqr"])
     key = lambda d: sorted((r["subject"], r["t_start"], r["state"]) for r in d.select("subject", "t_start", F.col("state")).collect())
     assert key(scoring.score(df, None, model, sidecar)) == key(scoring.score(df, refs, model, sidecar)) and len(key(scoring.score(df, None, model, sidecar))) == 60
+
+
+def test_score_ready_rows_scores_all_rows_after_the_usual_warm_up(spark):
+    """Nearly all rows of a wearer are after the warm-up, not the few after its 590th."""
+    sizes = fixtures.features(spark, SF).groupBy("subject").count().collect()
+    got = {r["subject"]: r["count"] for r in __spark_entry__.queries()["score_ready_rows"](spark, SF).groupBy("subject").count().collect()}
+    assert got == {r["subject"]: r["count"] - 100 for r in sizes if r["count"] > 100}
