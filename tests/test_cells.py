@@ -6,7 +6,7 @@ from itertools import permutations
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import scoring
+from pulsegrid.operators import scaling, scoring
 from pulsegrid.plans import export, loso
 
 COLS = ["eda_scl_mean", "eda_range"]
@@ -61,3 +61,44 @@ def test_runs_and_the_final_model_by_cells(spark, monkeypatch, tmp_path):
     model, sidecar = export.load(spark, f"{tmp_path}/m")
     refs = scoring.wearer_reference(df, COLS, 10, sidecar["cohort_iqr"])
     assert scoring.score(df, refs, model, sidecar | {"n_ref": 10}).where("state is not null").count() == 200
+
+
+def test_runs_take_the_same_way_whatever_the_tables_size(spark, monkeypatch):
+    """Neither fits nor importance by permutation change with the bound of the final model: no orders are drawn and rows are fitted."""
+    monkeypatch.setattr(loso, "permutation_drops", None)
+    got = []
+    for whole in (1, 500_000):
+        monkeypatch.setattr(loso, "WHOLE", whole)
+        run = loso.run(table(spark, 3, 20), "binary", "rf", "eda_only", permutation=True, trees=loso.Trees(rf_trees=3, max_depth=3))
+        got.append([sorted(d.collect()) for d in (run.predictions, run.permutation, run.importance)])
+    assert got[0] == got[1] and len(got[0][0]) == 60 and len(got[0][1]) == 2
+
+
+@pytest.mark.parametrize("kind,task", [("rf", "3class"), ("gbt", "binary")])
+def test_cells_by_a_models_thresholds_predict_as_their_rows(spark, kind, task):
+    """Also of values on a threshold."""
+    df = scaling.make_target(table(spark), task)
+    fitted = loso.make_estimator(kind, task, 0, loso.Trees(rf_trees=4, gbt_rounds=3, max_depth=4)).fit(loso.assemble(df.withColumn("weight", F.lit(1.0)), COLS))
+    found = loso.told_apart(df, fitted, COLS)
+    on = found.select("y", *[F.col(f"{c}_bin").alias(c) for c in COLS])
+    bins = [f"{c}_bin" for c in COLS]
+    for rows in (df.select("y", *COLS), on):
+        want = fitted.transform(loso.assemble(rows, COLS)).groupBy("y", "prediction").count().collect()
+        got = fitted.transform(loso.assemble(loso.told_apart(rows, fitted, COLS), bins)).groupBy("y", "prediction").agg(F.sum("_n").alias("n")).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    assert found.count() < 240
+
+
+def test_registered_runs_have_the_same_folds_at_every_size(spark, monkeypatch):
+    """A fold per subject also of twelve subjects, and three groups also of two."""
+    from pulsegrid import queries_model
+
+    calls = []
+    monkeypatch.setattr(loso, "groups", None)
+    monkeypatch.setattr(loso, "run", lambda *a, k=None, **kw: calls.append(k) or type("Done", (), {"summary": None, "permutation": None}))
+    monkeypatch.setattr(loso, "sweep", lambda *a, k=None, **kw: calls.append(k))
+    for n in (2, 12):
+        monkeypatch.setattr(queries_model.X, "features", lambda *_: table(spark, n, 2))
+        for q in (queries_model.loso_rf, queries_model.loso_gbt, queries_model.permutation_importance, queries_model.ablation_sweep):
+            q(spark, "")
+    assert calls == [None, None, 3, 3] * 2
