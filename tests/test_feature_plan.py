@@ -16,3 +16,13 @@ def test_accepted_windows_meet_the_blocks_in_one_exchange_of_panes(spark):
     union = next(i for i, line in enumerate(lines) if "Union" in line)
     assert "Exchange hashpartitioning(subject, chunk," in lines[union - 1]
     assert lines[union + 1].count("flatten") == 0 and "eda" in lines[union + 1]  # the pane, not the window's array
+
+
+def test_live_features_go_to_python_once(spark):
+    """Skin conductance is split and its responses found in one call, beside the frequencies of motion."""
+    from pulsegrid.queries import CFG
+    from pulsegrid.streaming import live
+
+    df = spark.createDataFrame([], "wearer string, start timestamp, baseline_hr double, baseline_temp double, refused string, " + ", ".join(f"{s} array<double>" for s in live.FUSED))
+    plan = live.closed_features(df, CFG)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
